@@ -8,16 +8,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_LOCAL: dict[str, str] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where that is unset (local tests) a temporary folder is taken and set.
+    Only where that is unset (local tests) a temporary folder is taken.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL.get("folder")
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='cairnflow-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _LOCAL["folder"] = f"file://{tempfile.mkdtemp(prefix='cairnflow-')}"
     return found.rstrip("/")
 
 
