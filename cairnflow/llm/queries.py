@@ -5,18 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, urls, warc
+from . import langid, packing, toxicity, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score, the field fitted on labelled rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    field = toxicity.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    tagged = toxicity.tag(docs.select("doc_id", "text"), field)
+    return tagged.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url, by the production rules."""
     return urls.url_filter(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, prototypes fitted on rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    names, prototypes = langid.fit(docs)
+    found = langid.identify(docs.select("doc_id", "text"), names, prototypes)
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all pages as archives, then read the archives."""
     path = warc.archive_path(spark)
@@ -32,7 +48,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_toxicity": op3_toxicity,
     "op4_url_filters": op4_url_filters,
+    "op6_language_id": op6_language_id,
     "op9_warc": op9_warc,
     "op10_packing": op10_packing,
 }

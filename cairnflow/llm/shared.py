@@ -67,3 +67,41 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = now.select(F.col("b").alias("id")).distinct()
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots.select("id", F.col("id").alias("component"))).distinct()
+
+
+def append(docs: DataFrame, fields: str, make, text: str = "text", rows: int = 1024) -> DataFrame:
+    """``docs`` with columns that ``make()(texts)`` yields (a list for each of ``fields``), ``rows`` texts at a time.
+
+    ``make`` is called once in each task and returns the function. Columns of ``docs`` with a new column's name are
+    replaced. Texts come as str or None.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    new = StructType.fromDDL(fields)
+    kept = [c for c in docs.columns if c.lower() not in {f.name.lower() for f in new}]
+    kept += [text] * (text not in kept)
+    frame = docs.select(*kept)
+    whole = StructType(list(frame.schema) + list(new))
+    at = kept.index(text)
+
+    def run(batches):
+        types = [f.type for f in to_arrow_schema(new)]
+        call = make()
+        for b in batches:
+            for k in range(0, b.num_rows, rows):
+                part = b.slice(k, rows)
+                made = call(part.column(at).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c, t) for c, t in zip(made, types))], names=[f.name for f in whole])
+
+    return frame.mapInArrow(run, whole)
+
+
+def bounded_sample(rows: DataFrame, key: str, bound: int, spare: float = 0.9) -> DataFrame:
+    """About ``spare * bound`` of ``rows`` where there are more: chosen by a hash of ``key``, the same rows every time."""
+    n = rows.count()
+    if n <= bound:
+        return rows
+    share = int(spare * bound / n * (1 << 31))
+    return rows.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 31)) < share)
