@@ -16,7 +16,9 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,39 +29,64 @@ from pyspark.sql import functions as F
 WINDOW = 2048
 END_ID = 1
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: White space on which Python and the tokenizer might differ: such texts are split at plain blanks only.
-_ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‍    ⁠　﻿]")
-_PLAIN = re.compile("[ \t\n\r]+")
+#: What makes a text other than plain: then it is split at plain blanks only and the tokenizer sees whole words.
+_NOT_PLAIN = re.compile("[^\t\n\r\x20-\x26\x28-\x7eÀ-ÖØ-öø-ÿ]|startoftext|endoftext")
+_BLANKS = re.compile("[ \t\n\r]+")
+#: The parts into which the vocabulary splits a plain text: words, single digits, and runs of punctuation.
+_PARTS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ \t\n\r]+")
 
 
 class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes.
 
-    The vocabulary drops white space and never merges across it, so a text's ids are those of its words one after
-    the other; words repeat, and each is encoded once while it stays in the cache.
+    The vocabulary drops white space and never merges across it, nor across the parts of a plain text, so a text's ids
+    are those of its parts one after the other. Parts repeat, and each is encoded once while it stays in the cache,
+    which has two generations of ``cache_words``: what is not used in one is dropped.
     """
 
-    def __init__(self, path: str, cache_words: int = 300_000):
+    def __init__(self, path: str, cache_words: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache, self.most = Tokenizer.from_file(path), {}, cache_words
-
-    def words(self, text: str) -> list[str]:
-        return text.split() if not _ODD_SPACE.search(text) else [w for w in _PLAIN.split(text) if w]
+        self.tokenizer, self.most = Tokenizer.from_file(path), cache_words
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    @staticmethod
+    def parts(text: str) -> list[str]:
+        if _NOT_PLAIN.search(text):
+            return [w for w in _BLANKS.split(text) if w]
+        return _PARTS.findall(text.lower())
+
+    def learn(self, parts: set[str]) -> None:
+        """Put these in the cache."""
+        old = self.older
+        new = []
+        for part in parts:
+            if (known := old.get(part)) is not None:
+                self.cache[part] = known
+            else:
+                new.append(part)
+        for at in range(0, len(new), 10_000):
+            some = new[at : at + 10_000]
+            for part, found in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
+                self.cache[part] = array("I", found.ids).tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        split = [self.words(t) for t in texts]
+        split = [self.parts(t) for t in texts]
         if len(self.cache) > self.most:
-            self.cache.clear()
-        new = list(set().union(*split).difference(self.cache))
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for word, found in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                self.cache[word] = np.array(found.ids, dtype="<u4").tobytes()
+            self.cache, self.older = {}, self.cache
+        if new := set().union(*split).difference(self.cache):
+            self.learn(new)
         get = self.cache.__getitem__
-        for words in split:
-            yield b"".join(map(get, words))
+        for parts in split:
+            yield b"".join(map(get, parts))
+
+
+@cache
+def encoder(path: str, cache_words: int) -> Encoder:
+    """One for each Python worker, whose tasks share its cache."""
+    return Encoder(path, cache_words)
 
 
 class SumOfSquares:
@@ -135,7 +162,7 @@ class SumOfSquares:
             self.close(held)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID, max_open: int = 1024, cache_words: int = 300_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID, max_open: int = 1024, cache_words: int = 400_000) -> DataFrame:
     """Pieces of all documents (doc_id, text): see ``SCHEMA``.
 
     A null text counts as empty: its document is the end id alone. Null or repeated doc_ids are packed like others,
@@ -146,7 +173,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
         raise ValueError("window must be a power of two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, out = Encoder(tokenizer_path, cache_words), []
+        words, out = encoder(tokenizer_path, cache_words), []
         number = TaskContext.get().partitionId() << 32
         end = struct.pack("<I", end_id)
         schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
@@ -170,7 +197,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(texts)):
+                for doc_id, ids in zip(part.column(0).to_pylist(), words.encode(texts)):
                     packer.add(doc_id, ids + end)
                 if len(out) > 10_000:
                     yield batch()
