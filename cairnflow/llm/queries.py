@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, toxicity, urls, warc
+from . import embeddings, langid, packing, toxicity, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates among all embeddings."""
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all pages as archives, then read the archives."""
     path = warc.archive_path(spark)
@@ -51,6 +56,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_url_filters": op4_url_filters,
     "op6_language_id": op6_language_id,
+    "op7_embeddings": op7_embeddings,
     "op9_warc": op9_warc,
     "op10_packing": op10_packing,
 }

@@ -105,3 +105,65 @@ def bounded_sample(rows: DataFrame, key: str, bound: int, spare: float = 0.9) ->
         return rows
     share = int(spare * bound / n * (1 << 31))
     return rows.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 31)) < share)
+
+
+def by_group(df: DataFrame, keys: list[str], make, schema: str) -> DataFrame:
+    """Calls ``make()(group)`` for the rows of each combination of ``keys`` (a pyarrow Table), which returns columns or None.
+
+    Rows are dealt by the keys and sorted in each task, which streams over them: it holds one group at a time, so the
+    caller keeps groups small.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    out = StructType.fromDDL(schema)
+
+    def run(batches):
+        import numpy as np
+
+        types, names, call, held, last = [f.type for f in to_arrow_schema(out)], out.fieldNames(), make(), [], None
+        made: list[list] = []
+        n_made = 0
+
+        def close():
+            nonlocal n_made
+            table = pa.Table.from_batches(held)
+            found = call(table)
+            held.clear()
+            if found is not None:
+                made.append(found)
+                n_made += len(found[0])
+
+        def give():
+            nonlocal n_made
+            columns = [pa.concat_arrays([pa.array(m[k], t) for m in made]) for k, t in enumerate(types)]
+            made.clear()
+            n_made = 0
+            return pa.RecordBatch.from_arrays(columns, names=names)
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            columns = [b.column(k).to_numpy(zero_copy_only=False) for k in range(len(keys))]
+            change = np.zeros(b.num_rows - 1, dtype=bool)
+            for c in columns:
+                change |= c[1:] != c[:-1]
+            starts = [0, *(np.nonzero(change)[0] + 1).tolist(), b.num_rows]
+            if held and last != tuple(c[0] for c in columns):
+                close()
+            for a, z in zip(starts, starts[1:]):
+                if a:
+                    close()
+                held.append(b.slice(a, z - a))
+            last = tuple(c[-1] for c in columns)
+            if n_made > 20_000:
+                yield give()
+        if held:
+            close()
+        if made:
+            yield give()
+
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = df.select(*keys, *(c for c in df.columns if c not in keys)).repartition(n, *keys).sortWithinPartitions(*keys)
+    return ordered.mapInArrow(run, out)
