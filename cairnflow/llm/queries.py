@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, jaccard, langid, packing, toxicity, urls, warc
+from . import embeddings, jaccard, langid, lines, packing, toxicity, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines that go from every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.summary(docs, lines.removed_lines(docs))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's score, the field fitted on labelled rows that are not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -58,6 +64,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_url_filters": op4_url_filters,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
