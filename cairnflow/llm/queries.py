@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, jaccard, langid, lines, packing, toxicity, urls, warc
+from . import embeddings, jaccard, langid, lines, packing, pieces, toxicity, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,17 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.summary(docs, lines.removed_lines(docs))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded: number of pieces, a hash of the ids, and whether the text came back."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    both = pieces.decode(coded, path)
+    same = F.col("decoded").eqNullSafe(F.translate("text", pieces.MARK, " "))
+    return both.select("doc_id", F.size(F.coalesce("ids", F.array().cast("array<int>"))).alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), F.char_length("decoded").alias("n_chars_decoded"), same.alias("same"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's score, the field fitted on labelled rows that are not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -65,6 +76,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_toxicity": op3_toxicity,
     "op4_url_filters": op4_url_filters,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,

@@ -93,7 +93,7 @@ def append(docs: DataFrame, fields: str, make, text: str = "text", rows: int = 1
             for k in range(0, b.num_rows, rows):
                 part = b.slice(k, rows)
                 made = call(part.column(at).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c, t) for c, t in zip(made, types))], names=[f.name for f in whole])
+                yield pa.RecordBatch.from_arrays([*part.columns, *(c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(made, types))], names=[f.name for f in whole])
 
     return frame.mapInArrow(run, whole)
 
