@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, jaccard, langid, lines, packing, pieces, toxicity, urls, warc
+from . import embeddings, jaccard, langid, lines, packing, pieces, syncmers, toxicity, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,11 @@ def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op8_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return syncmers.edited_pairs(table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all pages as archives, then read the archives."""
     path = warc.archive_path(spark)
@@ -82,6 +87,7 @@ QUERIES = {
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_language_id": op6_language_id,
     "op7_embeddings": op7_embeddings,
+    "op8_syncmer_fingerprints": op8_syncmer_fingerprints,
     "op9_warc": op9_warc,
     "op10_packing": op10_packing,
 }
