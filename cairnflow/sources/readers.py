@@ -35,8 +35,8 @@ def read_ascii_grid(spark: SparkSession, path: str, projection: Projection | Non
     x0 = head["xllcorner"] if "xllcorner" in head else head.get("xllcenter", 0.0) - size / 2
     y0 = head["yllcorner"] if "yllcorner" in head else head.get("yllcenter", 0.0) - size / 2
     grid = Grid(nrow, ncol, Extent(x0, x0 + ncol * size, y0, y0 + nrow * size), projection or LonLat(), names=(os.path.splitext(os.path.basename(path))[0],))
-    whole = spark.read.option("wholetext", "true").text(path)
-    numbers = F.slice(F.split(F.trim(F.regexp_replace("value", f"^(?:[^\\n]*\\n){{{lines}}}", "")), "\\s+"), 1, nrow * ncol)
+    whole = spark.read.text(path, wholetext=True)
+    numbers = F.slice(F.split(F.trim("value"), "\\s+"), 2 * lines + 1, nrow * ncol)  # a name and a number in each line of the head
     cells = whole.select(F.posexplode(numbers).alias("k", "v"))
     value = F.col("v").cast("double")
     if "nodata_value" in head:
