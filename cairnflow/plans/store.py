@@ -1,7 +1,7 @@
 """A store of results on any Hadoop file system: objects by id, and an append-only log of tags.
 
-``<root>/objects/<objectId>/`` holds a table (Parquet) or one pickled value; ``<root>/tags/`` the log in Parquet with
-columns (cacheId, tagKey, tagValue, createdDate, seq, op). An object is written first and its tags last: what has no
+``<root>/objects/<objectId>/`` holds a table (Parquet) or one pickled value; ``<root>/tags/`` the log, a folder of
+Parquet for each append, with columns (cacheId, tagKey, tagValue, createdDate, seq, op). An object is written first and its tags last: what has no
 tags doesn't exist. Deleting appends a tombstone; ``compact`` rewrites the log without what is dead.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from cairnflow.operators import tags as tag_ops
 
-LOG = T.StructType([*tag_ops.SCHEMA.fields[:0], T.StructField("cacheId", T.StringType()), T.StructField("tagKey", T.StringType()), T.StructField("tagValue", T.StringType()), T.StructField("createdDate", T.TimestampType()), T.StructField("seq", T.LongType()), T.StructField("op", T.StringType())])
+LOG = T.StructType([T.StructField("cacheId", T.StringType()), *tag_ops.SCHEMA.fields[1:], T.StructField("seq", T.LongType()), T.StructField("op", T.StringType())])
 VALUE = "value binary"
 
 
@@ -56,7 +56,7 @@ class Store:
         if not self.exists(self.tags_path):
             return False
         try:
-            self.spark.read.schema(LOG).parquet(self.tags_path).limit(1).collect()
+            self._read_log().limit(1).collect()
             return True
         except Exception:
             return False
@@ -65,7 +65,8 @@ class Store:
         if force:
             self.drop()
         if not self.exists(self.tags_path):
-            self.spark.createDataFrame([], LOG).write.mode("append").parquet(self.tags_path)
+            fs, p = self._fs(self.tags_path)
+            fs.mkdirs(p)
         return self
 
     def drop(self) -> None:
@@ -87,10 +88,14 @@ class Store:
     def _append(self, rows: list[tuple], op: str = "add") -> None:
         now, seq = dt.datetime.now(), time.time_ns()
         full = [(i, k, v, now, seq + n, op) for n, (i, k, v) in enumerate(rows)]
-        self.spark.createDataFrame(full, LOG).coalesce(1).write.mode("append").parquet(self.tags_path)
+        # a folder for each append: writers at the same time never share their temporary files
+        self.spark.createDataFrame(full, LOG).coalesce(1).write.parquet(f"{self.tags_path}/{seq}-{uuid.uuid4().hex}")
+
+    def _read_log(self) -> DataFrame:
+        return self.spark.read.schema(LOG).option("recursiveFileLookup", "true").parquet(self.tags_path)
 
     def log(self) -> DataFrame:
-        return self.spark.read.schema(LOG).parquet(self.tags_path) if self.exists(self.tags_path) else self.spark.createDataFrame([], LOG)
+        return self._read_log() if self.exists(self.tags_path) else self.spark.createDataFrame([], LOG)
 
     def tags(self) -> DataFrame:
         """Live rows: after an entry's last tombstone, and the latest of single-valued keys."""
