@@ -37,6 +37,21 @@ def forget(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have shuffle files removed that no DataFrame needs any more.
+
+    Executors drop them when the driver's collector finds their owners gone, which in a driver with room to spare can
+    take until the end of a job of many steps.
+    """
+    import gc
+    import time
+
+    gc.collect()
+    for _ in range(2):  # owners are found gone in the first round, what they owned in the second
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Smallest reachable id of every id in ``edges`` (a, b): columns id, component.
 
@@ -69,11 +84,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots.select("id", F.col("id").alias("component"))).distinct()
 
 
-def append(docs: DataFrame, fields: str, make, text: str = "text", rows: int = 1024) -> DataFrame:
+def append(docs: DataFrame, fields: str, make, text: str = "text", rows: int = 1024, as_arrow: bool = False) -> DataFrame:
     """``docs`` with columns that ``make()(texts)`` yields (a list for each of ``fields``), ``rows`` texts at a time.
 
     ``make`` is called once in each task and returns the function. Columns of ``docs`` with a new column's name are
-    replaced. Texts come as str or None.
+    replaced. Texts come as str or None, or as the Arrow array with ``as_arrow``.
     """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -92,7 +107,7 @@ def append(docs: DataFrame, fields: str, make, text: str = "text", rows: int = 1
         for b in batches:
             for k in range(0, b.num_rows, rows):
                 part = b.slice(k, rows)
-                made = call(part.column(at).to_pylist())
+                made = call(part.column(at) if as_arrow else part.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, *(c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(made, types))], names=[f.name for f in whole])
 
     return frame.mapInArrow(run, whole)
@@ -167,3 +182,42 @@ def by_group(df: DataFrame, keys: list[str], make, schema: str) -> DataFrame:
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = df.select(*keys, *(c for c in df.columns if c not in keys)).repartition(n, *keys).sortWithinPartitions(*keys)
     return ordered.mapInArrow(run, out)
+
+
+class IdFilter:
+    """A Bloom filter of ids, of at most 2 MB: sent to all executors, it spares rows that a join would drop anyway.
+
+    Beyond some millions of ids it lets more rows pass, so an exact join has to follow.
+    """
+
+    MOST_BITS = 1 << 24
+
+    def __init__(self, ids: DataFrame, column: str):
+        n = ids.count()
+        self.mask = (1 << max(16, min(self.MOST_BITS.bit_length() - 1, (12 * n).bit_length()))) - 1
+        spots = F.explode(F.array(*self._spots(column))).alias("p")
+        words = ids.select(spots).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b"))
+        import numpy as np
+
+        bits = np.zeros((self.mask + 1) // 64, dtype=np.int64)
+        found = words.toArrow()  # at most 2 ** 18 rows
+        bits[found.column("w").to_numpy()] = found.column("b").to_numpy()
+        self.bits = bits
+
+    def _spots(self, column: str) -> list:
+        hashes = [F.xxhash64(F.lit(seed), F.col(column)) for seed in (0, 1)]
+        return [c.bitwiseAND(F.lit(self.mask)) for h in hashes for c in (h, F.shiftrightunsigned(h, 32))]
+
+    def columns(self, column: str) -> list:
+        """What ``passes`` needs of each row."""
+        return [F.xxhash64(F.lit(seed), F.col(column)).alias(f"__h{seed}") for seed in (0, 1)]
+
+    def passes(self, h0, h1):
+        """Which rows may hold one of the ids (numpy arrays of the two hashes)."""
+        import numpy as np
+
+        ok = np.ones(len(h0), dtype=bool)
+        for h in (h0, h1):
+            for p in (h & self.mask, (h.view(np.uint64) >> np.uint64(32)).astype(np.int64) & self.mask):
+                ok &= (self.bits[p >> 6] >> (p & 63)) & 1 == 1
+        return ok
