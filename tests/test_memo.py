@@ -183,3 +183,12 @@ def test_later_write_and_decorator(store):
 
     assert twice(4) == 8 == twice(4)
     assert store_name("/a/b/1c") == "b_1c" and store_name("/a/2b/c") == "_2b_c"
+
+
+def test_the_log_can_be_followed(spark, store, tmp_path):
+    from cairnflow.streaming import follow_log
+
+    memo(add, 1, store=store, user_tags=["k:v"])
+    stream = follow_log(spark, store.root).writeStream.format("memory").queryName("followed").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+    stream.awaitTermination(60)
+    assert spark.sql("select * from followed where tagKey = 'k' and tagValue = 'v'").count() == 1
