@@ -9,14 +9,14 @@ link, at Jaccard 0.8 or more, each shares at least four fifths of its own elemen
   that link share one of the elements of their prefixes, one fifth of the set and one more.
 
 The boundary is where enumerating costs more than scanning, from the mean length of a list in the corpus; sets near it
-do both. Each list first gives only pairs of a member with the list's smallest id (per class of sizes); what these
-verified pairs leave in different components is then compared with each other. So groups of near copies never give
+do both. Each list first gives only pairs of a member with the list's smallest id (per class of sizes). Pairs that a small
+sketch of both sets cannot rule out are verified on the whole sets. What the verified pairs leave in different components is then compared with each other. So groups of near copies never give
 all their pairs, and no link between components is lost.
 """
 
 from __future__ import annotations
 
-from functools import cache
+from functools import cache, reduce
 from itertools import combinations
 from math import comb
 
@@ -26,12 +26,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, forget, written
+from .shared import IdFilter, components, forget, release, written
 
 WORDS = 5
 SHARE = (4, 5)  #: link where intersection * 5 >= union * 4
 COMMON = 100_000  #: at most so many common shingles are told to executors; others count as rare, which costs only time
 CHUNK = 1024
+ROUNDS = 4  #: lists are made in so many parts, one after the other, which bounds the disk that their shuffles take
+COUNTED = 4_000_000  #: shingles of so many texts' sets are counted together in a task; less than three there isn't common
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 
 
@@ -91,12 +93,13 @@ def boundary(mean_list: float, share: tuple[int, int] = SHARE, most: int = 24) -
     return size
 
 
-def signatures(s: np.ndarray, common: np.ndarray, counts: np.ndarray, bound: int, share: tuple[int, int] = SHARE) -> np.ndarray:
-    """What a set is found by: hashes of its subsets if it is small, the rarest elements if it is large, both if near."""
+def signatures(s: np.ndarray, common: np.ndarray, counts: np.ndarray, bound: int, share: tuple[int, int] = SHARE) -> tuple[np.ndarray, np.ndarray]:
+    """(what a set is found by, place of each in its order): hashes of its subsets if it is small (place 0), the rarest
+    elements if it is large, both if near."""
     n = len(s)
+    parts, places = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int32)]
     if not n:
-        return s
-    parts = []
+        return parts[0], places[0]
     if n <= bound:
         salt = np.uint64(0xA0761D6478BD642F)
         every, h = int(_mixed(s * salt).sum(dtype=np.uint64)), _mixed(s * salt)
@@ -104,6 +107,7 @@ def signatures(s: np.ndarray, common: np.ndarray, counts: np.ndarray, bound: int
         for d in range(1, n - least_overlap(n, share) + 1):
             sums += [(every - int(h[list(out)].sum(dtype=np.uint64))) & 0xFFFFFFFFFFFFFFFF for out in combinations(range(n), d)]
         parts.append(_mixed(np.array(sums, dtype=np.uint64) ^ salt))
+        places.append(np.zeros(len(sums), dtype=np.int32))
     if n > bound or share[1] * n >= share[0] * (bound + 1):
         prefix = n - least_overlap(n, share) + 1
         weight = np.zeros(n, dtype=np.int64)
@@ -111,14 +115,76 @@ def signatures(s: np.ndarray, common: np.ndarray, counts: np.ndarray, bound: int
             at = np.minimum(np.searchsorted(common, s), len(common) - 1)
             weight = np.where(common[at] == s, counts[at], 0)
         parts.append(s[np.lexsort((s, weight))[:prefix]] if weight.any() else s[:prefix])
-    return np.unique(np.concatenate(parts))
+        places.append(np.arange(prefix, dtype=np.int32))
+    return np.concatenate(parts), np.concatenate(places)
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """How many elements fall in each of some equal ranges of hashes (saturated at 255), about two in each; the number
+    of ranges is a power of two, so that sketches of different lengths can be compared."""
+    bits = min(16, max(6, (len(s) // 2).bit_length()))
+    return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def may_link(u: np.ndarray, v: np.ndarray, n: int, share: tuple[int, int] = SHARE) -> bool:
+    """Whether the overlap that two sketches allow, of sets with n elements together, is enough."""
+    if (u == 255).any() or (v == 255).any():
+        return True
+    if len(u) > len(v):
+        u, v = v, u
+    most = int(np.minimum(u, v.reshape(len(u), -1).sum(axis=1)).sum())
+    return share[1] * most >= share[0] * (n - most)
+
+
+def _of_pairs(docs: DataFrame, pairs: DataFrame, make, words: int) -> DataFrame:
+    """``make(set)`` (n and bytes) of the documents in ``pairs`` (x, y), and of some others, as a table (id, n, s)."""
+    ids = pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
+    wanted = docs.sparkSession.sparkContext.broadcast(some := IdFilter(ids, "doc_id"))
+
+    def run(batches):
+        for b in batches:
+            b = b.filter(pa.array(wanted.value.passes(b.column(2).to_numpy(), b.column(3).to_numpy())))
+            for k in range(0, b.num_rows, CHUNK):
+                part = b.slice(k, CHUNK)
+                sets = [shingles(t, words) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([make(s) for s in sets], pa.binary())], names=["id", "n", "s"])
+
+    return docs.select("doc_id", "text", *some.columns("doc_id")).mapInArrow(run, "id long, n long, s binary")
+
+
+def _possible(docs: DataFrame, pairs: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
+    """The pairs (x, y) whose sketches do not rule a link out, as a written table."""
+    sketches = written(_of_pairs(docs, pairs, sketch, words), "sketches")
+    side = lambda c: sketches.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("s").alias(f"s_{c}"))
+
+    def keep(batches):
+        for b in batches:
+            n = b.column(2).to_numpy() + b.column(4).to_numpy()
+            ok = [may_link(np.frombuffer(u.as_buffer(), dtype=np.uint8), np.frombuffer(v.as_buffer(), dtype=np.uint8), k, share) for u, v, k in zip(b.column(3), b.column(5), n.tolist())]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in b.columns[:2]], names=["x", "y"])
+
+    wide = pairs.join(side("y"), "y").join(side("x"), "x").select("x", "y", "n_x", "s_x", "n_y", "s_y")
+    found = written(wide.mapInArrow(keep, "x long, y long").distinct(), "possible")
+    forget(docs.sparkSession, sketches)
+    return found
 
 
 def _survey(docs: DataFrame, words: int) -> DataFrame:
-    """One pass over all texts: a row (doc_id, n, digest) for each, and (shingle, count) for what is common in a chunk."""
+    """One pass over all texts: a row (doc_id, n, digest) for each, and (shingle, count) for what is common in a part."""
+
+    names = ["doc_id", "n", "digest", "shingle", "count", "total"]
+
+    def counted(sets: list[np.ndarray]) -> pa.RecordBatch:
+        every, counts = np.unique(np.concatenate(sets), return_counts=True)
+        often = counts >= 3
+        m = int(often.sum()) + 1
+        none = pa.nulls(m, pa.int64())
+        count, total = np.append(counts[often], 0), np.append(np.zeros(m - 1, np.int64), len(every))
+        return pa.RecordBatch.from_arrays([none, none, pa.nulls(m, pa.binary()), pa.array(np.append(every[often].view(np.int64), 0)), pa.array(count), pa.array(total)], names=names)
 
     def run(batches):
-        names = ["doc_id", "n", "digest", "shingle", "count", "total"]
+        held: dict[bytes, np.ndarray] = {}
+        size = 0
         for b in batches:
             for k in range(0, b.num_rows, CHUNK):
                 part = b.slice(k, CHUNK)
@@ -126,29 +192,20 @@ def _survey(docs: DataFrame, words: int) -> DataFrame:
                 digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
                 none = pa.nulls(len(sets), pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), none, none, none], names=names)
-                distinct = list({d: s for d, s in zip(digests, sets)}.values())
-                every, counts = np.unique(np.concatenate(distinct), return_counts=True)
-                often = counts >= max(3, len(distinct) // 256)
-                m = int(often.sum()) + 1
-                shingle = np.append(every[often].view(np.int64), 0)
-                count, total = np.append(counts[often], 0), np.append(np.zeros(m - 1, np.int64), len(every))
-                none = pa.nulls(m, pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, pa.nulls(m, pa.binary()), pa.array(shingle), pa.array(count), pa.array(total)], names=names)
+                held |= zip(digests, sets)
+                size += sum(map(len, sets))
+                if size > COUNTED:
+                    yield counted(list(held.values()))
+                    held, size = {}, 0
+        if held:
+            yield counted(list(held.values()))
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, digest binary, shingle long, count long, total long")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
     """The pairs (x, y) whose sets link, as a written table (a, b)."""
-    ids = pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
-
-    def sets(batches):
-        for b in batches:
-            for k in range(0, b.num_rows, CHUNK):
-                part = b.slice(k, CHUNK)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t, words).tobytes() for t in part.column(1).to_pylist()], pa.binary())], names=["id", "s"])
-
-    found = written(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "id long, s binary"), "sets")
+    found = written(_of_pairs(docs, pairs, np.ndarray.tobytes, words), "sets")
 
     def check(batches):
         for b in batches:
@@ -201,35 +258,49 @@ def similarity_classes(docs: DataFrame, words: int = WORDS, share: tuple[int, in
             for k in range(0, b.num_rows, CHUNK):
                 part = b.slice(k, CHUNK)
                 sets = [shingles(t, words) for t in part.column(1).to_pylist()]
-                made = [signatures(s, common, counts, bound, share).view(np.int64) for s in sets]
-                ends = np.cumsum([0, *map(len, made)])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(made) if made else [], pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int32()), lists], names=["id", "n", "sigs"])
+                made = [signatures(s, common, counts, bound, share) for s in sets]
+                ends = pa.array(np.cumsum([0, *(len(x) for x, _ in made)]), pa.int32())
+                lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([x for x, _ in made]).view(np.int64)))
+                places = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([y for _, y in made])))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int32()), lists, places], names=["id", "n", "sigs", "places"])
 
-    signed = written(singles.mapInArrow(sign, "id long, n int, sigs array<long>").where("n > 0"), "signed")
+    signed = written(singles.mapInArrow(sign, "id long, n int, sigs array<long>, places array<int>").where("n > 0"), "signed")
     size_class = F.floor(F.log(F.col("n").cast("double")) / np.log(share[1] / share[0])).cast("int")
-    rows = signed.select("id", "n", F.explode("sigs").alias("sig"))
-    # lists with more than one member: narrow rows, combined before they are shuffled
-    lists = rows.groupBy("sig").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("sig")
-    shared_rows = written(rows.join(lists, "sig", "left_semi"), "lists")
-    near = lambda a, b: (F.least(a, b) * share[1] >= F.greatest(a, b) * share[0])
-
-    leaders = shared_rows.groupBy("sig", size_class.alias("k")).agg(F.min(F.struct("id", "n")).alias("l"))
-    first = shared_rows.withColumn("k", size_class).join(leaders, ["sig", "k"]).where((F.col("id") > F.col("l.id")) & near(F.col("n"), F.col("l.n")))
+    rows = signed.select("id", "n", F.explode(F.arrays_zip("sigs", "places")).alias("x")).select("id", "n", F.col("x.sigs").alias("sig"), F.col("x.places").alias("i"))
+    # lists with more than one member: narrow rows, combined before they are shuffled, some lists at a time
+    parts = []
+    for k in range(ROUNDS):
+        some_rows = rows.where(F.pmod("sig", F.lit(ROUNDS)) == k)
+        lists = some_rows.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1").select("sig")
+        parts.append(written(some_rows.join(lists, "sig", "left_semi"), "lists"))
+        release(spark)
+    shared_rows = reduce(DataFrame.union, parts)
+
+    def near(n, m, i, j):
+        """Sizes allow a link; and so do the places, if this is the first element that both have: all that they share
+        comes after it. Sets that link pass in the list of their first shared element."""
+        return (F.least(n, m) * share[1] >= F.greatest(n, m) * share[0]) & (F.least(n - i, m - j) * (share[0] + share[1]) >= share[0] * (n + m))
+
+    leaders = shared_rows.groupBy("sig", size_class.alias("k")).agg(F.min(F.struct("id", "n", "i")).alias("l"))
+    first = shared_rows.withColumn("k", size_class).join(leaders, ["sig", "k"]).where((F.col("id") > F.col("l.id")) & near(F.col("n"), F.col("l.n"), F.col("i"), F.col("l.i")))
     pairs = written(first.select(F.col("l.id").alias("x"), F.col("id").alias("y")).distinct(), "pairs")
-    edges = _verified(singles, pairs, words, share)
+    release(spark)
+    edges = _verified(singles, _possible(singles, pairs, words, share), words, share)
     forget(spark, pairs)
+    release(spark)
 
     # what is in one list but in different components so far
     joined = written(components(edges), "members")
-    marked = shared_rows.join(joined.withColumnRenamed("id", "m"), F.col("id") == F.col("m"), "left").select("sig", "id", "n", F.coalesce("component", "id").alias("c"))
+    marked = shared_rows.join(joined.withColumnRenamed("id", "m"), F.col("id") == F.col("m"), "left").select("sig", "id", "n", "i", F.coalesce("component", "id").alias("c"))
     marked = written(marked, "marked")
     mixed = marked.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("sig")
     left = marked.join(mixed, "sig", "left_semi")
-    other = left.select("sig", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
-    second = left.join(other, "sig").where((F.col("c") < F.col("c2")) & near(F.col("n"), F.col("n2")))
+    other = left.select("sig", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("i").alias("i2"), F.col("c").alias("c2"))
+    second = left.join(other, "sig").where((F.col("c") < F.col("c2")) & near(F.col("n"), F.col("n2"), F.col("i"), F.col("i2")))
     again = written(second.select(F.least("id", "id2").alias("x"), F.greatest("id", "id2").alias("y")).distinct(), "pairs")
-    more = _verified(singles, again, words, share)
+    release(spark)
+    more = _verified(singles, _possible(singles, again, words, share), words, share)
+    release(spark)
     # an id with several texts links the classes of all of them
     several = classed.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("doc_id")
     same_id = classed.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
@@ -238,6 +309,6 @@ def similarity_classes(docs: DataFrame, words: int = WORDS, share: tuple[int, in
     out = narrow.join(classes, "digest", "left").join(members.withColumnRenamed("id", "rep"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     result = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
-    for table in (shared_rows, signed, edges, again, more, joined, marked, copies):
+    for table in (*parts, signed, edges, again, more, joined, marked, copies):
         forget(spark, table)
     return result
