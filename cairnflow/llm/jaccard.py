@@ -33,7 +33,7 @@ SHARE = (4, 5)  #: link where intersection * 5 >= union * 4
 COMMON = 100_000  #: at most so many common shingles are told to executors; others count as rare, which costs only time
 CHUNK = 1024
 ROUNDS = 4  #: lists are made in so many parts, one after the other, which bounds the disk that their shuffles take
-COUNTED = 4_000_000  #: shingles of so many texts' sets are counted together in a task; less than three there isn't common
+COUNTED = 2_000_000  #: shingles of so many texts' sets are counted together in a task; less than three there isn't common
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 
 
@@ -43,7 +43,7 @@ class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
         if len(word) <= 64:
-            if len(self) > 500_000:
+            if len(self) > 250_000:
                 self.clear()
             self[word] = value
         return value
@@ -285,7 +285,7 @@ def similarity_classes(docs: DataFrame, words: int = WORDS, share: tuple[int, in
     first = shared_rows.withColumn("k", size_class).join(leaders, ["sig", "k"]).where((F.col("id") > F.col("l.id")) & near(F.col("n"), F.col("l.n"), F.col("i"), F.col("l.i")))
     pairs = written(first.select(F.col("l.id").alias("x"), F.col("id").alias("y")).distinct(), "pairs")
     release(spark)
-    edges = _verified(singles, _possible(singles, pairs, words, share), words, share)
+    edges = _verified(docs, _possible(docs, pairs, words, share), words, share)
     forget(spark, pairs)
     release(spark)
 
@@ -299,7 +299,7 @@ def similarity_classes(docs: DataFrame, words: int = WORDS, share: tuple[int, in
     second = left.join(other, "sig").where((F.col("c") < F.col("c2")) & near(F.col("n"), F.col("n2"), F.col("i"), F.col("i2")))
     again = written(second.select(F.least("id", "id2").alias("x"), F.greatest("id", "id2").alias("y")).distinct(), "pairs")
     release(spark)
-    more = _verified(singles, _possible(singles, again, words, share), words, share)
+    more = _verified(docs, _possible(docs, again, words, share), words, share)
     release(spark)
     # an id with several texts links the classes of all of them
     several = classed.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("doc_id")

@@ -58,10 +58,10 @@ def text_vectors(texts: list[str | None], dimensions: int = DIMENSIONS) -> tuple
         for k, own, counts in keys:
             table[k, place[at : at + len(own)]] = counts
             at += len(own)
-        for first in range(0, len(codes), 8192):
-            c = codes[first : first + 8192]
+        for first in range(0, len(codes), 2048):
+            c = codes[first : first + 2048]
             bound = vectors[0][c >> 18] * vectors[1][c >> 9 & 511] * vectors[2][c & 511]
-            out += table[:, first : first + 8192] @ bound.astype(np.float32)
+            out += table[:, first : first + 2048] @ bound.astype(np.float32)
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return out / np.where(norm > 0, norm, 1), has
 

@@ -209,7 +209,7 @@ class Tagger:
                 pieces.setdefault((b - a - 1).bit_length(), []).append((k, a, b, start, min(len(e), start + SEGMENT)))
         for _, rows in pieces.items():
             longest = max(b - a for _, a, b, _, _ in rows)
-            width = max(1, 2_000_000 // longest)
+            width = max(1, 500_000 // longest)
             for first in range(0, len(rows), width):
                 part = rows[first : first + width]
                 grid = np.full((longest, len(part)), -50.0)
@@ -253,4 +253,4 @@ def tag(docs: DataFrame, field: Field, threshold: float = THRESHOLD) -> DataFram
 
         return call
 
-    return append(docs, "score double, predicted int, spans array<struct<start:long, end:long, score:double>>", make)
+    return append(docs, "score double, predicted int, spans array<struct<start:long, end:long, score:double>>", make, rows=512)
