@@ -66,6 +66,7 @@ class Model:
     types: list[int]
     dummy_prefix: bool = True
     known: dict[str, tuple[float, int]] = field(default_factory=dict)
+    blob: tuple | None = None
 
     @classmethod
     def read(cls, path: str) -> Model:
@@ -96,7 +97,9 @@ class Model:
             raise ValueError("a piece reaches over the start of a word")
         # characters that no piece holds end a word as well
         cut = "" if any("\n" in p for p in self.known) else "\n"
-        self.word = re.compile(f"{cut}|{MARK}*[^{MARK}{cut}]+|{MARK}+" if cut else f"{MARK}*[^{MARK}]+|{MARK}+")
+        self.word = re.compile(f"{MARK}*[^{MARK}{cut}]+|{MARK}+" + f"|{cut}" * bool(cut))
+        #: neighbours within some piece: between others no piece reaches
+        self.joined = {(a, b) for p in self.known for a, b in zip(p, p[1:])}
         self.raw = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else b" \xe2\x81\x87 " if t == UNKNOWN else p.encode() for p, t in zip(self.pieces, self.types)]
 
     def words(self, text: str) -> list[str]:
@@ -105,9 +108,29 @@ class Model:
         marked = text.replace(" ", MARK)
         return self.word.findall(MARK + marked if self.dummy_prefix else marked)
 
-    def decode(self, ids: list[int]) -> str:
-        raw = self.raw
-        text = b"".join([raw[k] for k in ids]).decode("utf-8", "replace").replace(MARK, " ")
+    def segments(self, word: str) -> list[str]:
+        """Parts of a word over whose ends no piece reaches: searched one by one, they give the word's best pieces."""
+        joined, out, start = self.joined, [], 0
+        for k, pair in enumerate(zip(word, word[1:]), 1):
+            if pair not in joined:
+                out.append(word[start:k])
+                start = k
+        out.append(word[start:])
+        return out
+
+    def decode(self, ids) -> str:
+        """The text of ids (a list, or an array of int32)."""
+        import numpy as np
+
+        if self.blob is None:
+            size = np.array([len(r) for r in self.raw], dtype=np.int64)
+            self.blob = np.frombuffer(b"".join(self.raw), dtype=np.uint8), np.cumsum(size) - size, size
+        blob, start, size = self.blob
+        ids = np.asarray(ids, dtype=np.int64)
+        n = size[ids]
+        ends = np.cumsum(n)
+        place = np.repeat(start[ids] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
+        text = blob[place].tobytes().decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
 
@@ -154,28 +177,46 @@ def viterbi(model: Model, words: list[str]):
         yield word, ids[::-1]
 
 
+class Generations:
+    """A cache of two generations: what isn't used in one is dropped."""
+
+    def __init__(self, most: int):
+        self.most, self.now, self.older = most, {}, {}
+
+    def turn(self) -> None:
+        if len(self.now) > self.most:
+            self.now, self.older = {}, self.now
+
+    def missing(self, keys) -> list:
+        """Keys in neither generation; those of the older one are taken over."""
+        fresh = []
+        for key in set(keys).difference(self.now):
+            if (value := self.older.get(key)) is not None:
+                self.now[key] = value
+            else:
+                fresh.append(key)
+        return fresh
+
+
 class PieceEncoder:
-    """Ids of texts as packed 32-bit numbers; a word is searched once while it stays in the cache (two generations)."""
+    """Ids of texts as packed 32-bit numbers; words and their segments are searched once while they stay in the cache."""
 
-    def __init__(self, path: str, cache_words: int = 300_000):
-        self.model, self.most = Model.read(path), cache_words
-        self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+    def __init__(self, path: str, cache_words: int = 500_000):
+        self.model = Model.read(path)
+        self.words, self.parts = Generations(cache_words), Generations(cache_words // 2)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [self.model.words(t or "") for t in texts]
-        if len(self.cache) > self.most:
-            self.cache, self.older = {}, self.cache
-        new = set().union(*split).difference(self.cache)
-        fresh = []
-        for word in new:
-            if (ids := self.older.get(word)) is not None:
-                self.cache[word] = ids
-            else:
-                fresh.append(word)
-        for word, ids in viterbi(self.model, sorted(fresh)):
-            self.cache[word] = array("i", ids).tobytes()
-        get = self.cache.__getitem__
+        self.words.turn()
+        self.parts.turn()
+        fresh = self.words.missing(set().union(*split))
+        cut = [self.model.segments(word) for word in fresh]
+        for part, ids in viterbi(self.model, sorted(self.parts.missing(set().union(*cut)))):
+            self.parts.now[part] = array("i", ids).tobytes()
+        get = self.parts.now.__getitem__
+        for word, parts in zip(fresh, cut):
+            self.words.now[word] = get(parts[0]) if len(parts) == 1 else b"".join(map(get, parts))
+        get = self.words.now.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
 
@@ -185,11 +226,11 @@ def encoder(path: str, cache_words: int) -> PieceEncoder:
     return PieceEncoder(path, cache_words)
 
 
-def encode(docs: DataFrame, model_path: str, cache_words: int = 300_000) -> DataFrame:
-    """``docs`` with ids (array<int>) of column text.
+def encode(docs: DataFrame, model_path: str, cache_words: int = 500_000, decoded: bool = False) -> DataFrame:
+    """``docs`` with ids (array<int>) of column text and, with ``decoded``, the text that they decode to.
 
     A null text has null ids, an empty one none. The mark itself in a text reads as a blank. Texts of any length are
-    encoded whole; repeated rows get equal ids; a column named ids is replaced. An empty table gives no rows.
+    encoded whole; repeated rows get equal ids; columns named like a new one are replaced. An empty table gives no rows.
     """
 
     def make():
@@ -203,22 +244,26 @@ def encode(docs: DataFrame, model_path: str, cache_words: int = 300_000) -> Data
             ends = np.cumsum([0, *(len(b) // 4 for b in found)])
             flat = pa.array(np.frombuffer(b"".join(found), dtype=np.int32))
             none = pa.array([t is None for t in texts])
-            return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, mask=none)]
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, mask=none)
+            if not decoded:
+                return [ids]
+            return ids, [None if t is None else words.model.decode(np.frombuffer(b, dtype=np.int32)) for t, b in zip(texts, found)]
 
         return call
 
-    return append(docs, "ids array<int>", make)
+    return append(docs, "ids array<int>" + ", decoded string" * decoded, make)
 
 
 def decode(coded: DataFrame, model_path: str, column: str = "decoded") -> DataFrame:
     """``coded`` with the text of its ids in ``column``; null ids give null."""
 
     def make():
-        model = encoder(model_path, 300_000).model
+        model = encoder(model_path, 500_000).model
 
         def call(rows):
-            return [[None if ids is None else model.decode(ids) for ids in rows]]
+            flat, ends = rows.values.to_numpy(), rows.offsets.to_numpy()
+            return [[model.decode(flat[a:z]) if ok else None for a, z, ok in zip(ends, ends[1:], rows.is_valid().to_pylist())]]
 
         return call
 
-    return append(coded, f"{column} string", make, text="ids")
+    return append(coded, f"{column} string", make, text="ids", as_arrow=True)

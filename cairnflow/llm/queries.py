@@ -23,8 +23,7 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
-    both = pieces.decode(coded, path)
+    both = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, decoded=True)
     same = F.col("decoded").eqNullSafe(F.translate("text", pieces.MARK, " "))
     return both.select("doc_id", F.size(F.coalesce("ids", F.array().cast("array<int>"))).alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), F.char_length("decoded").alias("n_chars_decoded"), same.alias("same"))
 
