@@ -15,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines that go from every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return lines.summary(docs, lines.removed_lines(docs))
+    return lines.summary(docs, lines.removed_lines(docs, min_tokens=lines.ANY_TOKEN))
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
