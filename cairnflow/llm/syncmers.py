@@ -3,8 +3,9 @@
 A text is a row of words (runs of other than white space, cut at 16 characters, so that scripts without blanks have
 words too). Of every run of K words, the smallest hash of an inner run of S words is sought; if it stands at the first or
 the last place, the run is an anchor. Whether a run is one depends on its own words alone, so texts that share a passage
-share its anchors, wherever it stands. A fingerprint is the row of the anchors' hashes; the likeness of two is the share
-of anchors that they have in common (Dice).
+share its anchors, wherever it stands. Runs of SHORT words, chosen the same way by single words, are a second level for
+texts of any length; marks of the start stand before the first word, so even one word is in a run. A fingerprint is the
+row of the anchors' hashes of both levels; the likeness of two is the share of anchors that they have in common (Dice).
 """
 
 from __future__ import annotations
@@ -13,13 +14,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K, S = 7, 2
+SHORT = 3  #: words in a run of the second level
+_START = -(1 << 63)  #: stands for a word before the first; no hash is smaller, so runs with it are always chosen
 _WORD = "\\S{1,16}"
 
 
-def with_anchors(df: DataFrame, text: str, out: str, k: int = K, s: int = S, positions: bool = False) -> DataFrame:
+def with_anchors(df: DataFrame, text: str, out: str, k: int = K, s: int = S, positions: bool = False, short: bool = False) -> DataFrame:
     """``df`` with the anchors of column ``text`` in ``out``: hashes of 32 bits, or (position, hash) of each.
 
     A null or empty text has none. A text without any anchor (too short, or by chance) has one, the hash of all of it.
+    ``short`` adds the anchors of the second level after these; they have no positions.
     """
     h, g = f"__{out}_h", f"__{out}_g"
     words = F.transform(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(_WORD), F.lit(0)), lambda w: F.xxhash64(w))
@@ -43,8 +47,15 @@ def with_anchors(df: DataFrame, text: str, out: str, k: int = K, s: int = S, pos
     else:
         made = F.when(F.size(h) >= k, F.transform(places, hashed))
         one, none = F.array(whole), F.array().cast("array<bigint>")
-    df = df.select("*", made.alias(out)).drop(g, h)
-    return df.withColumn(out, F.when(F.size(F.coalesce(out, none)) > 0, F.col(out)).when(whole.isNotNull(), one).otherwise(none))
+    df = df.select("*", made.alias(out)).drop(g)
+    df = df.withColumn(out, F.when(F.size(F.coalesce(out, none)) > 0, F.col(out)).when(whole.isNotNull(), one).otherwise(none))
+    if short:
+        df = df.select("*", F.concat(F.array_repeat(F.lit(_START), SHORT - 1), h).alias(g))
+        ends = lambda i: F.least(F.get(g, i), F.get(g, i + SHORT - 1)) <= F.least(F.get(g, i), *(F.get(g, i + d) for d in range(1, SHORT - 1)))
+        run = lambda i: low(F.xxhash64(F.lit(SHORT), *(F.get(g, i + d) for d in range(SHORT))))
+        runs = F.when(F.size(h) > 0, F.transform(F.filter(F.sequence(F.lit(0), F.size(h) - 1), ends), run)).otherwise(none)
+        df = df.withColumn(out, F.concat(out, runs)).drop(g)
+    return df.drop(h)
 
 
 def as_text(anchors: str) -> Column:
@@ -96,7 +107,7 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     edited = F.concat(F.expr("substring(text, 1, cast(n_chars - floor(n_chars / 2) as int))"), F.substring("next", F.lit(1), half))
     df = df.withColumn("edited", edited)
     for text, out in (("text", "a"), ("edited", "b"), ("next", "c")):
-        df = with_anchors(df, text, out)
+        df = with_anchors(df, text, out, short=True)
     return df.select(
         "doc_id",
         "n_chars",

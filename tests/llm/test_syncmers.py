@@ -65,3 +65,10 @@ def test_contract(spark):
 def test_no_python_in_the_plan(spark):
     plan = syncmers.edited_pairs(rows_of(spark, [(1, "a b"), (2, "c d")]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_short_texts_share_anchors_with_their_edits(spark):
+    rng = random.Random(11)
+    docs = [(n, " ".join(f"w{rng.randrange(10**4, 10**5)}" for _ in range(n))) for n in range(3, 30)] + [(-1, "z" * 400)]
+    got = {r.doc_id: r for r in syncmers.edited_pairs(rows_of(spark, docs)).collect()}
+    assert all(0 < got[n].near_edited < 1 for n in range(3, 30)) and all(got[n].near_next == 0 for n in range(3, 30))
