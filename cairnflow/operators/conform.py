@@ -83,6 +83,9 @@ def project_to(data: Data, target: Data | Projection, method: str | None = None)
     return Raster(call(data.cells, data.grid, new), new)
 
 
+MASK_VERTICES = 100_000  #: of a mask of features; they are collected on the driver
+
+
 def mask_to(data: Data, target: Data, touches: bool = False) -> Data:
     """Null outside the target; features are cut by a convex target, and left as they are by a raster."""
     if isinstance(data, Raster):
@@ -94,7 +97,9 @@ def mask_to(data: Data, target: Data, touches: bool = False) -> Data:
     if isinstance(target, Raster):
         return data
     area = v.project(target.rows, target.projection, data.projection)
-    rows = v.vertices(area).where("not hole").orderBy("fid", "part", "place").limit(100_000).select("x", "y").collect()
+    rows = v.vertices(area).where("not hole").orderBy("fid", "part", "place").limit(MASK_VERTICES + 1).select("x", "y").collect()
+    if len(rows) > MASK_VERTICES:
+        raise ValueError(f"the mask has more than {MASK_VERTICES} vertices")
     return Features(v.clip(data.rows, [(r.x, r.y) for r in rows]), data.projection) if rows else Features(data.rows.where("false"), data.projection)
 
 

@@ -142,3 +142,15 @@ def test_domains(spark, tmp_path):
     assert for_domain(spark, path, a, make)[1] and for_domain(spark, path, b, make)[1]
     rows, new = for_domain(spark, path, inner, make)
     assert not new and rows.count() == 1 and len(made) == 2
+
+
+def test_a_mask_of_too_many_vertices_is_an_error(spark, monkeypatch):
+    from cairnflow.operators import conform as c
+
+    square = lambda a, b: Features(v.features(spark, [(0, v.polygon([(a, a), (b, a), (b, b), (a, b)]))]), pr.LonLat())
+    monkeypatch.setattr(c, "MASK_VERTICES", 10, raising=False)
+    box = v.extent(c.mask_to(square(0, 4), square(2, 6)).rows)
+    assert (box.xmin, box.xmax, box.ymin, box.ymax) == (2, 4, 2, 4)
+    monkeypatch.setattr(c, "MASK_VERTICES", 3)
+    with pytest.raises(ValueError, match="vertices"):
+        c.mask_to(square(0, 4), square(2, 6))
