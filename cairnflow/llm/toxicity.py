@@ -1,15 +1,17 @@
 """Toxic spans by a linear-chain conditional random field over tokens.
 
-The chain has two states (clean, toxic), a weight for each known word and weights for the transitions. It is fitted on
-short windows of labelled tokens. Only documents carry labels, so tokens get theirs from those: words that occur often,
-and nearly only, in toxic documents (near copies counted once) mark the toxic tokens. Forward-backward marginals of
-every token of a text aggregate to its score (the largest marginal), and runs of tokens with a marginal of at least
-one half give the offending offsets.
+The chain has two states (clean, toxic), weights for what a token looks like (the word, its beginnings and
+endings) and weights for the transitions. Only documents carry labels, so tokens get theirs from those: attributes that
+tokens of toxic documents have often, and nearly only those (near copies counted once), mark the toxic tokens. The field
+is fitted on the whole texts of the labelled rows, cut into windows; windows that look the same to it count several
+times. Forward-backward marginals of every token of a text aggregate to its score by a logistic calibration on the same
+labelled rows, and runs of tokens with a marginal of at least one half give the offending offsets.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -22,15 +24,27 @@ from .shared import append, bounded_sample, forget, written
 
 TRAINING_ROWS = 12_000  #: the field is fitted on at most so many labelled rows, chosen by a hash of doc_id
 THRESHOLD = 0.7
-CANDIDATES = 2_000  #: words that may become toxic labels, by support
-REACH = 8  #: tokens on either side of a labelled one
-SEGMENT, OVERLAP = 4096, 64  #: longer texts are tagged in overlapping segments; a chain forgets within a few tokens
+PURITY = 0.7  #: an attribute marks toxic tokens if at least this share of the tokens that have it is in toxic texts
+WINDOW = 16  #: tokens of a training window
+SEGMENT = 4096  #: longer texts run in parts side by side, each with the messages of those before and after it
 _EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»“”‘’„…–—"
 _TOKEN = re.compile(r"\S+")
 
 
 def word_of(token: str) -> str:
-    return token.lower().strip(_EDGES)[:64]
+    return token.lower().strip(_EDGES)
+
+
+def hash_of(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass")) + 1
+
+
+def attributes_of(word: str) -> list[str]:
+    """What the field sees of a word: itself, beginnings of 4 to 8 and endings of 4 to 6 characters."""
+    if not word:
+        return []
+    n = len(word)
+    return [f"={word}", *(f"{word[:k]}-" for k in range(4, min(9, n))), *(f"-{word[-k:]}" for k in range(4, min(7, n)))]
 
 
 def held_out() -> F.Column:
@@ -39,54 +53,146 @@ def held_out() -> F.Column:
 
 @dataclass
 class Field:
-    """Weights of a two-state chain: emission (toxic against clean) by word, bias, and log transition weights."""
+    """Weights of a two-state chain: emission (toxic against clean) by attribute, bias, and log transition weights.
+
+    ``calibration``: weights of ``evidence``; without one a text's score is its largest marginal.
+    """
 
     words: dict[str, float]
     bias: float
     transitions: np.ndarray
+    calibration: np.ndarray | None = None
+
+    def emission(self, token: str) -> float:
+        get = self.words.get
+        return self.bias + sum(get(a, 0.0) for a in attributes_of(word_of(token)))
 
-    def marginals(self, emission: np.ndarray) -> np.ndarray:
-        """P(toxic) for each token: ``emission`` is [steps, texts], padded at the end with -inf-like values.
+    def marginals(self, emission: np.ndarray, lengths: np.ndarray | None = None, entry: np.ndarray | None = None, leave: np.ndarray | None = None) -> np.ndarray:
+        """P(toxic) for each token: ``emission`` is [steps, texts], each as long as ``lengths`` says.
 
-        With two states only the ratio of the scaled forward (and backward) values matters.
+        With two states only the ratio of the scaled forward (and backward) values matters. ``entry``: that of the
+        token before the first (nan: there is none); ``leave``: the backward ratio at the last.
         """
         t = np.exp(self.transitions)
         odds = np.exp(np.clip(emission, -50, 50))
         ahead = np.empty_like(odds)
-        r = ahead[0] = odds[0]
+        r = odds[0]
+        if entry is not None:
+            r = np.where(np.isnan(entry), r, r * (t[0, 1] + entry * t[1, 1]) / (t[0, 0] + entry * t[1, 0]))
+        ahead[0] = r
         for k in range(1, len(odds)):
             r = odds[k] * (t[0, 1] + r * t[1, 1]) / (t[0, 0] + r * t[1, 0])
             ahead[k] = r
-        q = np.ones(odds.shape[1])
+        q = last = np.ones(odds.shape[1]) if leave is None else leave
+        inside = np.full(odds.shape[1], len(odds)) if lengths is None else lengths
+        ahead[-1] *= q
         for k in range(len(odds) - 2, -1, -1):
             x = odds[k + 1] * q
-            q = (t[1, 0] + t[1, 1] * x) / (t[0, 0] + t[0, 1] * x)
+            q = np.where(k + 1 < inside, (t[1, 0] + t[1, 1] * x) / (t[0, 0] + t[0, 1] * x), last)
             ahead[k] *= q
         return ahead / (1 + ahead)
 
+    def long_marginals(self, emission: np.ndarray, segment: int = SEGMENT) -> np.ndarray:
+        """The marginals of one text of any length: segments run side by side.
 
-def fit_field(windows: list[tuple[list[str], list[int]]], epochs: int = 150, rate: float = 0.1, decay: float = 1e-4) -> Field:
-    """Adam on the log likelihood of labelled windows (words, labels): observed less expected features."""
-    vocabulary = {w: k for k, w in enumerate(sorted({w for words, _ in windows for w in words}))}
+        For each segment the 2 x 2 product of its steps is taken first; these, one after the other, give the forward
+        message that enters each segment and the backward message at its end, as if it had not been cut.
+        """
+        n, t = len(emission), np.exp(self.transitions)
+        parts = -(-n // segment)
+        grid = np.zeros((parts * segment,))
+        grid[:n] = emission
+        grid = np.ascontiguousarray(grid.reshape(parts, segment).T)
+        lengths = np.full(parts, segment)
+        lengths[-1] = n - segment * (parts - 1)
+        odds = np.exp(np.clip(grid, -50, 50))
+        product = np.zeros((2, 2, parts))  # from the state before a segment to that of its last token
+        product[0, 0] = product[1, 1] = 1.0
+        for k in range(segment):
+            step = np.stack([product[:, 0] * t[0, 0] + product[:, 1] * t[1, 0], (product[:, 0] * t[0, 1] + product[:, 1] * t[1, 1]) * odds[k]], axis=1)
+            product = np.where(k < lengths, step / step.sum(axis=(0, 1)), product)
+        first = self._forward_end(odds[: lengths[0], 0], t)
+        entry, leave = np.full(parts, np.nan), np.ones(parts)
+        message = first
+        for s in range(1, parts):
+            entry[s] = message[1] / message[0]
+            message = message @ product[:, :, s]
+            message = message / message.sum()
+        message = np.ones(2)
+        for s in range(parts - 1, 0, -1):
+            message = product[:, :, s] @ message
+            message = message / message.sum()
+            leave[s - 1] = message[1] / message[0]
+        return self.marginals(grid, lengths, entry, leave).T.reshape(-1)[:n]
+
+    @staticmethod
+    def _forward_end(odds: np.ndarray, t: np.ndarray) -> np.ndarray:
+        r = odds[0]
+        for x in odds[1:]:
+            r = x * (t[0, 1] + r * t[1, 1]) / (t[0, 0] + r * t[1, 0])
+        return np.array([1.0, r]) / (1 + r)
+
+    def score(self, p: np.ndarray) -> float:
+        """A text's score from its marginals."""
+        if self.calibration is None:
+            return float(p.max()) if len(p) else 0.0
+        return float(1 / (1 + np.exp(-np.clip(evidence(p) @ self.calibration, -30, 30))))
+
+
+def evidence(p: np.ndarray) -> np.ndarray:
+    """What the calibration sees of a text: one, the largest marginal, how many toxic tokens are expected, how many
+    for each thousand, and how often it was a strong one."""
+    if not len(p):
+        p = np.zeros(1)
+    top, total = min(max(float(p.max()), 1e-5), 1 - 1e-5), float(p[p > 0.02].sum())
+    return np.array([1.0, np.log(top / (1 - top)) / 4, np.log1p(total), np.log1p(1000 * total / (len(p) + 20)) / 4, np.log1p(float((p >= 0.5).sum()))])
+
+
+def fit_calibration(features: np.ndarray, labels: np.ndarray, decay: float = 1e-3, steps: int = 60) -> np.ndarray | None:
+    """Logistic regression by Newton steps; None where there is one kind of label only."""
+    if len(set(labels.tolist())) < 2:
+        return None
+    theta, ridge = np.zeros(features.shape[1]), decay * len(labels) * np.diag([0.0] + [1.0] * (features.shape[1] - 1))
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(features @ theta, -30, 30)))
+        slope = features.T @ (labels - p) - ridge @ theta
+        curve = (features * (p * (1 - p))[:, None]).T @ features + ridge + 1e-6 * np.eye(len(theta))
+        move = np.linalg.solve(curve, slope)
+        theta = theta + move / max(1.0, np.abs(move).max())
+        if np.abs(move).max() < 1e-8:
+            break
+    return theta
+
+
+def fit_field(windows: list[tuple[list[str], list[int]]], counts: list[int] | None = None, known: frozenset[str] | None = None, epochs: int = 200, rate: float = 0.1, decay: float = 1e-4) -> Field:
+    """Adam on the log likelihood of labelled windows (words, labels): observed less expected features.
+
+    ``counts``: how often each window occurs. ``known``: the attributes that get weights; all by default.
+    """
+    seen = {w: [a for a in attributes_of(w) if known is None or a in known] for w in {w for words, _ in windows for w in words}}
+    vocabulary = {x: k for k, x in enumerate(sorted({x for found in seen.values() for x in found}))}
     size, steps = len(vocabulary), max((len(w) for w, _ in windows), default=0)
     if not steps:
         return Field({}, -6.0, np.zeros((2, 2)))
-    ids = np.full((steps, len(windows)), size)
+    deep = max((len(found) for found in seen.values()), default=0) or 1
+    ids = np.full((deep, steps, len(windows)), size)  # the last id stands for no attribute
     gold = np.zeros((steps, len(windows)))
     mask = np.zeros((steps, len(windows)))
+    share = np.ones(len(windows)) if counts is None else np.array(counts, dtype=float)
     for k, (words, labels) in enumerate(windows):
-        ids[: len(words), k] = [vocabulary[w] for w in words]
+        for s, w in enumerate(words):
+            ids[: len(seen[w]), s, k] = [vocabulary[x] for x in seen[w]]
         gold[: len(words), k] = labels
         mask[: len(words), k] = 1
-    both = mask[1:] * mask[:-1]
+    both = mask[1:] * mask[:-1] * share
     observed_pairs = np.array([[((1 - gold[:-1]) * (1 - gold[1:]) * both).sum(), ((1 - gold[:-1]) * gold[1:] * both).sum()], [(gold[:-1] * (1 - gold[1:]) * both).sum(), (gold[:-1] * gold[1:] * both).sum()]])
     theta = np.zeros(size + 1 + 4)  # words, bias, transitions
     theta[size] = -2.0
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    n = len(windows)
+    n, whole = len(windows), share.sum()
     for epoch in range(1, epochs + 1):
         weights = np.append(theta[:size], 0.0)
-        odds = np.exp(np.clip(np.where(mask > 0, weights[ids] + theta[size], 0.0), -50, 50)) * (mask > 0)
+        odds = np.exp(np.clip(np.where(mask > 0, weights[ids].sum(axis=0) + theta[size], 0.0), -50, 50)) * (mask > 0)
         t = np.exp(theta[size + 1 :].reshape(2, 2))
         ahead = np.empty((2, steps, n))
         z = 1 + odds[0]
@@ -107,27 +213,30 @@ def fit_field(windows: list[tuple[list[str], list[int]]], epochs: int = 150, rat
             for j in (0, 1):
                 pairs[i, j] = ahead[i, :-1] * t[i, j] * (odds[1:] if j else 1.0) * back[j, 1:]
         expected_pairs = (pairs / pairs.sum(axis=(0, 1)) * both).sum(axis=(2, 3))
-        residual = (gold - p) * mask
-        slope = np.concatenate([np.bincount(ids.ravel(), residual.ravel(), size + 1)[:size], [residual.sum()], (observed_pairs - expected_pairs).ravel()]) / n - decay * theta
+        residual = (gold - p) * mask * share
+        slope = np.concatenate([np.bincount(ids.ravel(), np.broadcast_to(residual, ids.shape).ravel(), size + 1)[:size], [residual.sum()], (observed_pairs - expected_pairs).ravel()]) / whole - decay * theta
         m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
         theta += rate * (m / (1 - 0.9**epoch)) / (np.sqrt(v / (1 - 0.999**epoch)) + 1e-8)
     words = {w: float(theta[k]) for w, k in vocabulary.items() if abs(theta[k]) > 0.05}
     return Field(words, float(theta[size]), theta[size + 1 :].reshape(2, 2))
 
 
-def toxic_words(toxic: list[set[str]], clean: Counter, n_clean: int, share: float = 0.01) -> list[str]:
-    """Words that mark toxic texts: at least five of them and ``share`` of all, and a (smoothed) rate in clean texts of
-    at most a twentieth of that in toxic ones.
+def toxic_attributes(toxic: Counter, clean: Counter, texts: Counter, n_toxic: int, share: float = 0.01) -> frozenset[str]:
+    """Attributes that mark toxic tokens: at least five toxic texts and ``share`` of all of these have it, and ``PURITY``
+    of the tokens with it (``toxic`` and ``clean`` count different words of a text) are in toxic texts."""
+    least = max(5.0, share * n_toxic)
+    return frozenset(a for a, c in texts.items() if c >= least and toxic[a] >= PURITY * (toxic[a] + clean[a] + 1))
 
-    ``toxic``: candidate words of each toxic text, near copies taken once; ``clean``: in how many clean texts a
-    candidate occurs.
-    """
-    total = Counter(w for words in toxic for w in words)
-    return sorted(w for w, c in total.items() if c >= max(5.0, share * len(toxic)) and (clean[w] + 0.5) / max(n_clean, 1) <= 0.05 * c / len(toxic))
+
+def _text_class(words: list[str]) -> int:
+    """The same for near copies, mostly: the least hash of three words in a row."""
+    codes = [hash_of(w) for w in words] or [0]
+    h = np.array([*codes, 0, 0], dtype=np.uint64)
+    return int((h[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ h[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) ^ h[2:] * np.uint64(0x165667B19E3779F9)).min() >> np.uint64(1))
 
 
 def fit(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS) -> Field:
-    """The field from labelled documents that are not held out; at most ``training_rows`` of them.
+    """The field from labelled documents that are not held out; at most ``training_rows`` of them, their whole texts.
 
     Null labels and documents without text are left out. Without any toxic rows nothing is learned and every score
     is small.
@@ -135,60 +244,93 @@ def fit(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS)
     spark = docs.sparkSession
     known = bounded_sample(labels.where(F.col("toxic").isNotNull() & ~held_out()).select(F.col("doc_id").alias("id"), "toxic"), "id", training_rows)
     known = spark.createDataFrame(known.dropDuplicates(["id"]).toArrow(), known.schema)  # at most training_rows small rows
-    sample = written(docs.join(F.broadcast(known), F.col("doc_id") == F.col("id")).where("text is not null").select("doc_id", "text", "toxic"), "labelled")
+    sample = written(docs.join(F.broadcast(known), F.col("doc_id") == F.col("id")).where("text is not null").select("text", F.col("toxic").cast("int").alias("toxic")).distinct().repartition(spark.sparkContext.defaultParallelism), "labelled")
 
-    def presence(batches):
-        for b in batches:
-            rows = [(w, int(toxic)) for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for w in {word_of(t) for t in text.split()} if w]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([t for _, t in rows], pa.int32())], names=["word", "toxic"])
+    def attributes(batches, only=None):
+        """(attribute, class of the text, how many of the text's words have it)"""
+        cache: dict[str, list[str]] = {}
 
-    distinct = sample.select("text", "toxic").distinct()
-    counted = distinct.mapInArrow(presence, "word string, toxic int").groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
-    best = counted.where("t >= 2 and t >= 0.7 * n").orderBy(F.desc("t"), "word").limit(CANDIDATES).collect()
-    clean = Counter({r.word: r.n - r.t for r in best})
-    candidates = frozenset(clean)
-    n_clean = distinct.where("toxic = 0").count()
+        def of(word: str) -> list[str]:
+            got = cache.get(word)
+            if got is None:
+                got = [a for a in attributes_of(word) if only is None or a in only]
+                if len(word) <= 64 and len(cache) < 200_000:
+                    cache[word] = got
+            return got
 
-    def held(batches):
         for b in batches:
-            words = [{word_of(t) for t in text.split()} for text in b.column(0).to_pylist()]
-            # near copies share their longest words, other texts don't
-            keys = [" ".join(sorted(w, key=lambda x: (-len(x), x))[:4]) for w in words]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([sorted(w & candidates) for w in words], pa.list_(pa.string()))], names=["key", "words"])
-
-    held_words = distinct.where("toxic = 1").select("text").mapInArrow(held, "key string, words array<string>")
-    toxic_rows = held_words.groupBy("key").agg(F.max("words").alias("words")).collect()  # at most training_rows
-    lexicon = frozenset(toxic_words([set(r.words) for r in toxic_rows], clean, n_clean))
+            names, classes, counts = [], [], []
+            for text in b.column(0).to_pylist():
+                words = [word_of(t) for t in text.split()]
+                found = Counter(a for w in set(words) for a in of(w))
+                names += found.keys()
+                classes += [_text_class(words)] * len(found)
+                counts += found.values()
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(classes, pa.int64()), pa.array(counts, pa.int32())], names=["attribute", "class", "n"])
+
+    def counted(label: int, run, least: int) -> list:
+        """What each attribute has of the texts with this label, near copies once: the text with most counts."""
+        each = sample.where(F.col("toxic") == label).select("text").mapInArrow(run, "attribute string, class long, n int")
+        return each.groupBy("attribute", "class").agg(F.max("n").alias("n")).groupBy("attribute").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).where(F.col("texts") >= least).collect()
+
+    # at most what the training rows hold; attributes of fewer than five toxic texts mark nothing
+    mine = counted(1, attributes, 5)
+    candidates = frozenset(r.attribute for r in mine)
+    clean = Counter({r.attribute: r.n for r in counted(0, lambda batches: attributes(batches, candidates), 1)})
+    n_toxic = sample.where("toxic = 1").count()
+    marks = toxic_attributes(Counter({r.attribute: r.n for r in mine}), clean, Counter({r.attribute: r.texts for r in mine}), n_toxic)
 
     def windows(batches):
+        """Every text in windows; words without a mark are all the same, and so are most windows."""
+        found: Counter = Counter()
+        cache: dict[str, str] = {}
         for b in batches:
-            rows = []
             for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                words = [word_of(t) for t in text.split()]
-                if label == 1:
-                    at = [k for k, w in enumerate(words) if w in lexicon]
-                    spots = at[:1] + at[-1:] * (len(at) > 1)
-                else:
-                    spots = [len(words) * k // 3 for k in (1, 2)] if words else []
-                for k in spots:
-                    part = words[max(0, k - REACH) : k + REACH + 1]
-                    rows.append((part, [int(label == 1 and w in lexicon) for w in part]))
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.list_(pa.string())), pa.array([x for _, x in rows], pa.list_(pa.int32()))], names=["words", "labels"])
+                words = []
+                for t in text.split():
+                    w = cache.get(t)
+                    if w is None:
+                        w = word_of(t)
+                        w = w if any(a in marks for a in attributes_of(w)) else ""
+                        if len(t) <= 64 and len(cache) < 300_000:
+                            cache[t] = w
+                    words.append(w)
+                for k in range(0, len(words), WINDOW):
+                    part = words[k : k + WINDOW]
+                    found["\n".join(part) + ("\t1" if label == 1 and any(part) else "\t0")] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["window", "n"])
+
+    rows = sample.mapInArrow(windows, "window string, n long").groupBy("window").agg(F.sum("n").alias("n")).collect()  # the training rows' text at most
+    cut = []
+    for r in sorted(rows, key=lambda r: r.window):
+        text, _, label = r.window.rpartition("\t")
+        words = text.split("\n")
+        cut.append((words, [int(label == "1" and w != "") for w in words], r.n))
+    field = fit_field([(w, y) for w, y, _ in cut], [n for _, _, n in cut], marks) if marks else Field({}, -6.0, np.zeros((2, 2)))
+
+    def seen(batches):
+        tagger = Tagger(field)
+        for b in batches:
+            rows = [evidence(p).tolist() for p in tagger.marginals(b.column(0).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(rows, pa.list_(pa.float64()))], names=["toxic", "evidence"])
 
-    rows = distinct.mapInArrow(windows, "words array<string>, labels array<int>").collect()  # at most two for each training row
+    found = sample.mapInArrow(seen, "toxic int, evidence array<double>").collect()  # at most training_rows
     forget(spark, sample)
-    return fit_field(sorted((list(r.words), list(r.labels)) for r in rows))
+    found = sorted((r.toxic, *r.evidence) for r in found)
+    if marks and found:
+        field.calibration = fit_calibration(np.array([f[1:] for f in found]), np.array([float(f[0] == 1) for f in found]))
+    return field
 
 
 class Tagger:
-    """Applies a field to texts; word weights are looked up once per distinct token while they stay in the cache."""
+    """Applies a field to texts; emissions are looked up once per distinct token while they stay in the cache."""
 
     def __init__(self, field: Field, cache_words: int = 300_000):
         self.field, self.most = field, cache_words
 
         class Weights(dict):
             def __missing__(self, token: str) -> float:
-                value = field.bias + field.words.get(word_of(token), 0.0)
+                value = field.emission(token)
                 if len(token) <= 64:
                     self[token] = value
                 return value
@@ -202,23 +344,23 @@ class Tagger:
         get = self.weights.__getitem__
         emissions = [np.array([*map(get, text.split())]) if text else np.zeros(0) for text in texts]
         out = [np.zeros(len(e)) for e in emissions]
-        pieces: dict[int, list[tuple[int, int, int, int, int]]] = {}
+        like: dict[int, list[int]] = {}
         for k, e in enumerate(emissions):
-            for start in range(0, len(e), SEGMENT):
-                a, b = max(0, start - OVERLAP), min(len(e), start + SEGMENT + OVERLAP)
-                pieces.setdefault((b - a - 1).bit_length(), []).append((k, a, b, start, min(len(e), start + SEGMENT)))
-        for _, rows in pieces.items():
-            longest = max(b - a for _, a, b, _, _ in rows)
+            if len(e) > SEGMENT:
+                out[k] = self.field.long_marginals(e)
+            elif len(e):
+                like.setdefault((len(e) - 1).bit_length(), []).append(k)
+        for rows in like.values():
+            longest = max(len(emissions[k]) for k in rows)
             width = max(1, 500_000 // longest)
             for first in range(0, len(rows), width):
                 part = rows[first : first + width]
-                grid = np.full((longest, len(part)), -50.0)
-                for c, (k, a, b, _, _) in enumerate(part):
-                    grid[: b - a, c] = emissions[k][a:b]
-                # a padded token is surely clean; without its influence the last real token is left as it is
-                p = self.field.marginals(grid)
-                for c, (k, a, _, start, end) in enumerate(part):
-                    out[k][start:end] = p[start - a : end - a, c]
+                grid = np.zeros((longest, len(part)))
+                for c, k in enumerate(part):
+                    grid[: len(emissions[k]), c] = emissions[k]
+                p = self.field.marginals(grid, np.array([len(emissions[k]) for k in part]))
+                for c, k in enumerate(part):
+                    out[k] = p[: len(emissions[k]), c]
         return out
 
     def spans(self, text: str, p: np.ndarray) -> list[dict]:
@@ -238,7 +380,7 @@ class Tagger:
 def tag(docs: DataFrame, field: Field, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with score, predicted (1 if score >= threshold) and spans (start, end, score in characters).
 
-    A null or empty text has score 0 and no spans. Texts of any length are tagged whole. Repeated rows get equal
+    A null or empty text has the score of a text without any toxic token, and no spans. Texts of any length are tagged whole. Repeated rows get equal
     results.
     """
 
@@ -247,8 +389,8 @@ def tag(docs: DataFrame, field: Field, threshold: float = THRESHOLD) -> DataFram
 
         def call(texts):
             marginals = tagger.marginals(texts)
-            scores = [float(p.max()) if len(p) else 0.0 for p in marginals]
-            spans = [tagger.spans(t, p) if s >= 0.5 else [] for t, p, s in zip(texts, marginals, scores)]
+            scores = [field.score(p) for p in marginals]
+            spans = [tagger.spans(t, p) if len(p) and p.max() >= 0.5 else [] for t, p in zip(texts, marginals)]
             return scores, [int(s >= threshold) for s in scores], spans
 
         return call

@@ -26,14 +26,30 @@ def test_forward_backward_is_exact():
         assert np.allclose(field.marginals(e[:, None])[:, 0], exact(field, e))
 
 
-def test_padding_and_segments_change_little():
-    field = toxicity.Field({"bad": 9.0}, -4.0, np.array([[0.5, -0.5], [-0.5, 0.0]]))
-    tagger = toxicity.Tagger(field)
-    text = " ".join("bad" if k % 97 == 0 else f"w{k % 13}" for k in range(10_000))
-    whole = np.array([tagger.weights[t] for t in text.split()])
-    got = tagger.marginals([text, "one bad word", "", None, "ok"])
-    assert np.allclose(got[0], field.marginals(whole[:, None])[:, 0], atol=1e-9)
-    assert [len(p) for p in got] == [10_000, 3, 0, 0, 1] and got[1][1] > 0.9
+def test_padding_and_segments_change_nothing():
+    rng = np.random.default_rng(1)
+    for transitions in (np.array([[0.5, -0.5], [-0.5, 0.0]]), rng.normal(size=(2, 2)), np.zeros((2, 2))):
+        field = toxicity.Field({"=bad": 9.0}, -4.0, transitions)
+        tagger = toxicity.Tagger(field)
+        text = " ".join("bad" if k % 97 == 0 else f"w{k % 13}" for k in range(10_000))
+        whole = np.array([tagger.weights[t] for t in text.split()])
+        got = tagger.marginals([text, "one bad word", "", None, "ok", "a b bad c d bad bad"])
+        assert np.allclose(got[0], field.marginals(whole[:, None])[:, 0], atol=1e-12)
+        assert np.allclose(got[5], exact(field, [tagger.weights[t] for t in "a b bad c d bad bad".split()]))
+        assert np.allclose(got[1], exact(field, [tagger.weights[t] for t in "one bad word".split()]))
+        assert [len(p) for p in got] == [10_000, 3, 0, 0, 1, 7]
+        for n, segment in ((7, 3), (9, 3), (8, 4), (5, 1)):
+            e = rng.normal(size=n) * 3
+            assert np.allclose(field.long_marginals(e, segment), exact(field, e))
+
+
+def test_calibration_tells_one_strong_word_from_chance():
+    p = [np.array([0.99] + [0.01] * 50), np.full(60, 0.01), np.array([0.5] * 6 + [0.01] * 100), np.array([0.5] + [0.01] * 900)]
+    x = np.array([toxicity.evidence(q) for q in p * 40])
+    y = np.array([1.0, 0.0, 1.0, 0.0] * 40)
+    field = toxicity.Field({}, 0.0, np.zeros((2, 2)), toxicity.fit_calibration(x, y))
+    assert [field.score(q) > 0.7 for q in p] == [True, False, True, False] and 0 <= field.score(np.zeros(0)) < 0.3
+    assert toxicity.fit_calibration(x, np.ones(160)) is None
 
 
 def test_fitting_learns_labels():
@@ -51,9 +67,15 @@ def test_fitting_learns_labels():
     assert toxicity.fit_field([]).words == {}
 
 
-def test_words_need_support_and_purity():
-    toxic = [{"bad", "rare"}] + [{"bad", "fine"}] * 9
-    assert toxicity.toxic_words(toxic, Counter({"bad": 0, "rare": 0, "fine": 50}), 100) == ["bad"]
+def test_marks_need_support_and_purity():
+    toxic, texts = Counter({"=bad": 12, "=rare": 2, "=fine": 9, "b-": 8}), Counter({"=bad": 10, "=rare": 2, "=fine": 9, "b-": 6})
+    assert toxicity.toxic_attributes(toxic, Counter({"=fine": 50, "b-": 2}), texts, 100) == {"=bad", "b-"}
+
+
+def test_words_are_whole():
+    """Words that differ after many characters are different ones."""
+    a, b = "x" * 80 + "a", "x" * 80 + "b"
+    assert set(toxicity.attributes_of(a)) - set(toxicity.attributes_of(b)) and toxicity.word_of(a) == a
 
 
 def corpus(spark, n=400):
@@ -83,7 +105,7 @@ def test_held_out_documents(spark):
 def test_odd_rows(spark):
     docs, labels = corpus(spark, 60)
     rows = spark.createDataFrame([(None, "vile", "x"), (900, None, None), (901, "", "y"), (901, "", "y"), (902, "w1 " * 20_000, "z")], "doc_id long, text string, score string")
-    field = toxicity.Field({"vile": 9.0}, -4.0, np.zeros((2, 2)))
+    field = toxicity.Field({"=vile": 9.0}, -4.0, np.zeros((2, 2)))
     out = toxicity.tag(rows, field).collect()
     assert len(out) == 5 and sorted(r.score > 0.7 for r in out) == [False] * 4 + [True]
     assert all(r.spans == [] for r in out if not r.text)
