@@ -213,7 +213,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tables: in
     spark = vectors.sparkSession
     packed = written(usable(vectors), "vectors")
     edges = near_links(packed, threshold, tables, probes, block)
-    members = written(components(edges), "members")
+    members = components(edges)
     counts = link_counts(packed, members, threshold, block)
     found = written(members.join(counts, F.col("id") == F.col("vec_id"), "left").select(F.col("id"), "component", "n_links"), "found")
     for table in (packed, edges, members):

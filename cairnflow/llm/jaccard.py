@@ -290,7 +290,7 @@ def similarity_classes(docs: DataFrame, words: int = WORDS, share: tuple[int, in
     release(spark)
 
     # what is in one list but in different components so far
-    joined = written(components(edges), "members")
+    joined = components(edges)
     marked = shared_rows.join(joined.withColumnRenamed("id", "m"), F.col("id") == F.col("m"), "left").select("sig", "id", "n", "i", F.coalesce("component", "id").alias("c"))
     marked = written(marked, "marked")
     mixed = marked.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("sig")
@@ -304,7 +304,7 @@ def similarity_classes(docs: DataFrame, words: int = WORDS, share: tuple[int, in
     # an id with several texts links the classes of all of them
     several = classed.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("doc_id")
     same_id = classed.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
-    members = written(components(joined.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more).union(same_id)), "members")
+    members = components(joined.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more).union(same_id))
 
     out = narrow.join(classes, "digest", "left").join(members.withColumnRenamed("id", "rep"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))

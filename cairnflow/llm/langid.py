@@ -1,6 +1,6 @@
 """Language identification by hyperdimensional profiles.
 
-Every letter has a random vector of +1 and -1. A trigram's vector binds its letters' vectors, each permuted by its
+Every letter has a random vector of +1 and -1, drawn from a hash of its code point. A trigram's vector binds its letters' vectors, each permuted by its
 place (rotated by 2, 1 and 0), by multiplication; a text's vector bundles (sums) those of its trigrams; a language's
 prototype bundles the unit vectors of its training texts. A text gets the language whose prototype has the largest
 cosine with it.
@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from .shared import append, bounded_sample
 
 DIMENSIONS = 1024
-SLOTS = 512  #: letter vectors: one for each letter below U+0180, 127 shared by all others, and the word boundary
 TRAINING_ROWS = 20_000  #: prototypes are fitted on at most so many rows, chosen by a hash of doc_id
 UNKNOWN = "und"
 SHARPNESS = 20.0
@@ -26,29 +25,34 @@ _SCALE = 1_000_000  # prototypes are summed in whole numbers, so that the order
 
 
 @cache
-def _letters(dimensions: int) -> tuple[np.ndarray, np.ndarray]:
-    """(slot of each code point, 0 for what is no letter; the three permuted vectors of each slot)."""
-    slots = np.zeros(0x110000, dtype=np.int32)
-    for point in range(0x110000):
-        if chr(point).isalpha():
-            slots[point] = point if point < 0x180 else 0x181 + point * 2654435761 % 127
-    vectors = np.random.default_rng(20_25).choice(np.array([-1, 1], dtype=np.int8), size=(SLOTS, dimensions))
-    return slots, np.stack([np.roll(vectors, 2, axis=1), np.roll(vectors, 1, axis=1), vectors])
+def _is_letter() -> np.ndarray:
+    return np.fromiter((chr(point).isalpha() for point in range(0x110000)), dtype=bool, count=0x110000)
+
+
+def letter_vectors(points: np.ndarray, dimensions: int) -> np.ndarray:
+    """The vector of each code point (0: the word boundary), made of its hash alone: +1 and -1, [points, dimensions]."""
+    blocks = np.arange(-(-dimensions // 64), dtype=np.uint64)
+    x = points.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + blocks * np.uint64(0xD1B54A32D192ED03) + np.uint64(1)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    x ^= x >> np.uint64(31)
+    bits = np.unpackbits(np.ascontiguousarray(x).view(np.uint8), axis=1)[:, :dimensions]
+    return bits.astype(np.int8) * 2 - 1
 
 
 def text_vectors(texts: list[str | None], dimensions: int = DIMENSIONS) -> tuple[np.ndarray, np.ndarray]:
     """(unit vector of each text, whether it has a letter)."""
-    slots, vectors = _letters(dimensions)
+    letter = _is_letter()
     keys, has = [], np.zeros(len(texts), dtype=bool)
     for k, text in enumerate(texts):
         if not text:
             continue
-        s = slots[np.frombuffer(text.lower().encode("utf-32-le", "replace"), dtype=np.uint32)]
-        s = np.concatenate([[0], s, [0]])
+        s = np.frombuffer(text.lower().encode("utf-32-le", "replace"), dtype=np.uint32)
+        s = np.concatenate([[0], np.where(letter[s], s, 0), [0]])
         s = s[(s > 0) | np.concatenate([[True], s[:-1] > 0])]  # one boundary for a run of others
         has[k] = s.any()
         if has[k]:
-            codes, counts = np.unique((s[:-2].astype(np.int64) << 18) | (s[1:-1] << 9) | s[2:], return_counts=True)
+            codes, counts = np.unique((s[:-2].astype(np.int64) << 42) | (s[1:-1] << 21) | s[2:], return_counts=True)
             keys.append((k, codes, counts))
     out = np.zeros((len(texts), dimensions), dtype=np.float32)
     if keys:
@@ -60,7 +64,9 @@ def text_vectors(texts: list[str | None], dimensions: int = DIMENSIONS) -> tuple
             at += len(own)
         for first in range(0, len(codes), 2048):
             c = codes[first : first + 2048]
-            bound = vectors[0][c >> 18] * vectors[1][c >> 9 & 511] * vectors[2][c & 511]
+            points, spots = np.unique(np.concatenate([c >> 42, c >> 21 & 0x1FFFFF, c & 0x1FFFFF]), return_inverse=True)
+            vectors, spots = letter_vectors(points, dimensions), spots.reshape(3, -1)
+            bound = np.roll(vectors, 2, axis=1)[spots[0]] * np.roll(vectors, 1, axis=1)[spots[1]] * vectors[spots[2]]
             out += table[:, first : first + 2048] @ bound.astype(np.float32)
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return out / np.where(norm > 0, norm, 1), has
@@ -105,7 +111,7 @@ def identify(docs: DataFrame, names: list[str], prototypes: np.ndarray) -> DataF
 
     def make():
         def call(texts):
-            unit, has = text_vectors(texts)
+            unit, has = text_vectors(texts, prototypes.shape[1])
             if not names:
                 return [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
             cosines = (unit @ prototypes.T).astype(float)

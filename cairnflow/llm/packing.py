@@ -7,11 +7,12 @@ is still open at the end of a task is settled without padding: windows at a powe
 sequences are not padded), the pieces of the others are cut again into full windows, and the rest into powers of two.
 
 Every task packs what it reads, so there is no shuffle; sequence ids are (partition, counter). Memory is bounded by
-the open windows (``max_open``) and by the cache of encoded words (``cache_words``).
+the open windows (beyond ``max_open`` the fullest is filled from the emptiest) and by the cache of encoded words (``cache_words``).
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -32,15 +33,19 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 #: What makes a text other than plain: then it is split at plain blanks only and the tokenizer sees whole words.
 _NOT_PLAIN = re.compile("[^\t\n\r\x20-\x26\x28-\x7eÀ-ÖØ-öø-ÿ]|startoftext|endoftext")
 _BLANKS = re.compile("[ \t\n\r]+")
-#: The parts into which the vocabulary splits a plain text: words, single digits, and runs of punctuation.
+#: The split pattern and the normalizers of the vocabularies whose texts fall apart as below. Texts of any
+#: other vocabulary are given to the tokenizer whole.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+#: The parts into which such a vocabulary splits a plain text: words, single digits, and runs of punctuation.
 _PARTS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ \t\n\r]+")
 
 
 class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes.
 
-    The vocabulary drops white space and never merges across it, nor across the parts of a plain text, so a text's ids
-    are those of its parts one after the other. Parts repeat, and each is encoded once while it stays in the cache,
+    A vocabulary with ``_SPLIT`` drops white space and never merges across it, nor across the parts of a plain text, so
+    a text's ids are those of its parts one after the other; with another one each text is a single part. Parts repeat, and each is encoded once while it stays in the cache,
     which has two generations of ``cache_words``: what is not used in one is dropped.
     """
 
@@ -49,11 +54,17 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), cache_words
+        with open(path, encoding="utf-8") as file:
+            told = json.load(file)
+        split = (told.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
+        normalizers = [n["type"] for n in (told.get("normalizer") or {}).get("normalizers", [])]
+        self.falls_apart = split.get("pattern", {}).get("Regex") == _SPLIT and split.get("invert") is True and normalizers == _NORMALIZERS
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    @staticmethod
-    def parts(text: str) -> list[str]:
+    def parts(self, text: str) -> list[str]:
+        if not self.falls_apart:
+            return [text] if text else []
         if _NOT_PLAIN.search(text):
             return [w for w in _BLANKS.split(text) if w]
         return _PARTS.findall(text.lower())
@@ -132,8 +143,33 @@ class SumOfSquares:
             self.open[h + size].append(held)
             self.counts[h + size] += 1
             self.n_open += 1
-            if self.n_open > self.max_open:
-                self.settle()
+            while self.n_open > self.max_open:
+                self.fill_fullest()
+
+    def fill_fullest(self) -> None:
+        """Close the fullest open window with what the emptiest one holds, cut as needed: nothing is padded."""
+        high, low = (next(h for h in order if self.open[h]) for order in (range(self.window, 0, -1), range(1, self.window + 1)))
+        held = self.open[high].pop()
+        other = self.open[low].pop()
+        self.counts[high] -= 1
+        self.counts[low] -= 1
+        self.n_open -= 2
+        room = self.window - high
+        while room and other:
+            doc_id, start, ids, total = other.pop()
+            n = min(room, len(ids) // 4)
+            held.append((doc_id, start, ids[: 4 * n], total))
+            if 4 * n < len(ids):
+                other.append((doc_id, start + n, ids[4 * n :], total))
+            room -= n
+        for pieces in (held, other):
+            fill = sum(len(x[2]) for x in pieces) // 4
+            if fill == self.window:
+                self.close(pieces)
+            elif fill:
+                self.open[fill].append(pieces)
+                self.counts[fill] += 1
+                self.n_open += 1
 
     def settle(self) -> None:
         """Close all open windows: nothing is padded."""

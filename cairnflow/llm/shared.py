@@ -15,19 +15,28 @@ _LOCAL: dict[str, str] = {}
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where that is unset (local tests) a temporary folder is taken.
+    Only where that is unset and Spark runs in this process a temporary folder is taken.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL.get("folder")
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = _LOCAL["folder"] = f"file://{tempfile.mkdtemp(prefix='cairnflow-')}"
     return found.rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it again: lineage ends here, and a lost executor costs nothing."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """Write ``df`` as Parquet to the shared folder and read it again: lineage ends here, and a lost executor costs nothing.
+
+    What nobody forgets goes when the session ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def forget(spark: SparkSession, df: DataFrame) -> None:
@@ -67,7 +76,7 @@ def release(spark: SparkSession) -> None:
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Smallest reachable id of every id in ``edges`` (a, b): columns id, component.
+    """Smallest reachable id of every id in ``edges`` (a, b): columns id, component, as a written table.
 
     Alternating large-star and small-star steps. Each step keeps at most as many edges as it gets; a hub's
     edges are pre-aggregated (min) before the shuffle, and the join that hands the minimum back can be split
@@ -95,7 +104,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = now.select(F.col("b").alias("id")).distinct()
-    return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots.select("id", F.col("id").alias("component"))).distinct()
+    found = written(now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots.select("id", F.col("id").alias("component"))).distinct(), "members")
+    for table in (last, now):
+        forget(spark, table)
+    return found
 
 
 def append(docs: DataFrame, fields: str, make, text: str = "text", rows: int = 1024, as_arrow: bool = False) -> DataFrame:

@@ -1,7 +1,7 @@
 """Document fingerprints by closed syncmers, with DataFrame functions only.
 
-A text is a row of words (runs of other than white space, cut at 16 characters, so that scripts without blanks have
-words too). Of every run of K words, the smallest hash of an inner run of S words is sought; if it stands at the first or
+A text is a row of words (runs of other than white space; of more than 16 characters each one is a word, so scripts
+without blanks have words too, and where these begin doesn't depend on what is before them). Of every run of K words, the smallest hash of an inner run of S words is sought; if it stands at the first or
 the last place, the run is an anchor. Whether a run is one depends on its own words alone, so texts that share a passage
 share its anchors, wherever it stands. Runs of SHORT words, chosen the same way by single words, are a second level for
 texts of any length; marks of the start stand before the first word, so even one word is in a run. A fingerprint is the
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 K, S = 7, 2
 SHORT = 3  #: words in a run of the second level
 _START = -(1 << 63)  #: stands for a word before the first; no hash is smaller, so runs with it are always chosen
-_WORD = "\\S{1,16}"
+_WORD = "(?<!\\S)\\S{1,16}+(?!\\S)|\\S"
 
 
 def with_anchors(df: DataFrame, text: str, out: str, k: int = K, s: int = S, positions: bool = False, short: bool = False) -> DataFrame:
@@ -70,20 +70,22 @@ def likeness(a: str, b: str) -> Column:
     return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * both / total)
 
 
-def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
+def with_next(docs: DataFrame, parts: int | None = None, carried: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, text, next): each text and that of the next document by descending doc_id; after the last the first.
 
+    Columns ``carried`` come along, and the next document's as ``next_`` and their name.
+
     Ids are cut in ranges (their bounds, at most ``parts``, are all that reaches the driver); a range is sorted in one
     task, and the last document of a range is also sent to the next one, so texts are shuffled once. Null texts
     count as empty; a null doc_id comes after all others; rows with an equal doc_id follow each other by their texts.
     """
     n = parts or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), key.alias("key"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), key.alias("key"), *carried)
     ranges = rows.select("key").repartitionByRange(n, "key").groupBy(F.spark_partition_id().alias("p")).agg(F.min("key").alias("low"), F.max("key").alias("high")).orderBy("low").collect()
     lows, highs = [r.low for r in ranges], [r.high for r in ranges]
     if not lows:
-        return rows.select("doc_id", "text", F.lit("").alias("next"))
+        return rows.select("doc_id", "text", F.lit("").alias("next"), *carried, *(F.col(c).alias(f"next_{c}") for c in carried))
     literal = lambda values: F.from_json(F.lit("[" + ",".join(map(str, values)) + "]"), "array<bigint>")
     step = max(1, round(len(lows) ** 0.5))
     block = F.size(F.filter(literal(lows[::step]), lambda b: b <= F.col("key"))) - 1
@@ -91,23 +93,26 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     rows = rows.withColumn("p", (block * step + inside).cast("int"))
     own = F.struct(F.col("p").alias("part"), F.lit(False).alias("ghost"))
     ghost = F.struct(((F.col("p") + 1) % len(lows)).cast("int").alias("part"), F.lit(True).alias("ghost"))
-    spread = rows.select("doc_id", "text", "key", F.explode(F.when(F.col("key").isin(highs), F.array(own, ghost)).otherwise(F.array(own))).alias("x"))
+    spread = rows.select("doc_id", "text", "key", *carried, F.explode(F.when(F.col("key").isin(highs), F.array(own, ghost)).otherwise(F.array(own))).alias("x"))
     order = Window.partitionBy("part").orderBy(F.desc("ghost"), "key", "text")
-    led = spread.select("doc_id", "text", "key", "x.*").withColumn("next", F.lag("text").over(order))
-    return led.where("not ghost").select("doc_id", "text", "next")
+    led = spread.select("doc_id", "text", "key", *carried, "x.*").select("*", F.lag("text").over(order).alias("next"), *(F.lag(c).over(order).alias(f"next_{c}") for c in carried))
+    return led.where("not ghost").select("doc_id", "text", "next", *carried, *(f"next_{c}" for c in carried))
 
 
 def edited_pairs(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every document.
 
-    The edited text: its last floor(n_chars / 2) code points replaced by the first as many (or all) of the next text.
+    The edited text: its last floor(n_chars / 2) code points replaced by the first as many (or all) of the next text. A
+    null text counts as empty: its fingerprint is empty too. Rows with an equal doc_id get a row each; one without a
+    doc_id comes after all others. Other columns are ignored, whatever their names. An empty table gives no rows.
+    A document's anchors are computed once and go to its neighbour with its text.
     """
-    df = with_next(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+    docs = with_anchors(docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), "text", "a", short=True)
+    df = with_next(docs, carried=("a",)).withColumn("n_chars", F.char_length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.expr("substring(text, 1, cast(n_chars - floor(n_chars / 2) as int))"), F.substring("next", F.lit(1), half))
     df = df.withColumn("edited", edited)
-    for text, out in (("text", "a"), ("edited", "b"), ("next", "c")):
-        df = with_anchors(df, text, out, short=True)
+    df = with_anchors(df, "edited", "b", short=True)
     return df.select(
         "doc_id",
         "n_chars",
@@ -115,5 +120,5 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
         as_text("a").alias("fingerprint"),
         as_text("b").alias("edited_fingerprint"),
         likeness("a", "b").alias("near_edited"),
-        likeness("a", "c").alias("near_next"),
+        likeness("a", "next_a").alias("near_next"),
     )

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from cairnflow.llm import langid
 
 SYLLABLES = {"aa": ["the", "ing", "wh", "tion", "ou"], "bb": ["sch", "ein", "ich", "ung", "ä"], "cc": ["eau", "oi", "ç", "é", "que"]}
@@ -44,3 +46,47 @@ def test_odd_rows(spark):
     assert langid.identify(df.limit(0), names, prototypes).count() == 0
     none = langid.fit(corpus(spark).limit(0))
     assert none[0] == [] and {r.lang_pred for r in langid.identify(df, *none).collect()} == {"und"}
+
+
+def brute_vector(text, dimensions):
+    """Trigram by trigram, letter by letter."""
+    total, has = np.zeros(dimensions), False
+    letters = [0]
+    for c in text.lower():
+        if c.isalpha():
+            letters.append(ord(c))
+            has = True
+        elif letters[-1]:
+            letters.append(0)
+    if letters[-1]:
+        letters.append(0)
+    one = lambda point: langid.letter_vectors(np.array([point]), dimensions)[0].astype(int)
+    for x, y, z in zip(letters, letters[1:], letters[2:]):
+        total += np.roll(one(x), 2) * np.roll(one(y), 1) * one(z)
+    return total / (np.linalg.norm(total) or 1), has
+
+
+def test_against_brute_force(spark):
+    """Every training text's vector, the prototypes and each document's language, by plain loops."""
+    docs = corpus(spark, 60)
+    names, prototypes = langid.fit(docs, dimensions=256)
+    rows = langid.identify(docs, names, prototypes).withColumn("held", langid.held_out()).collect()
+    sums = {n: np.zeros(256) for n in names}
+    for r in rows:
+        if r.lang is not None and not r.held:
+            sums[r.lang] += brute_vector(r.text, 256)[0]
+    for k, n in enumerate(names):
+        assert np.allclose(prototypes[k], sums[n] / np.linalg.norm(sums[n]), atol=1e-4)
+    for r in rows:
+        cosines = {n: float(brute_vector(r.text, 256)[0] @ sums[n] / np.linalg.norm(sums[n])) for n in names}
+        assert abs(max(cosines.values()) - r.cosine) < 1e-4
+        if sorted(cosines.values())[-1] - sorted(cosines.values())[-2] > 1e-3:
+            assert r.lang_pred == max(cosines, key=cosines.get)
+
+
+def test_every_letter_has_its_own_vector():
+    points = np.arange(0x4E00, 0x4E00 + 2000)
+    assert len(np.unique(langid.letter_vectors(points, 1024), axis=0)) == 2000
+    v = langid.letter_vectors(points, 1024).astype(int)
+    assert abs((v @ v.T - 1024 * np.eye(2000, dtype=int))).max() < 260 and abs(v.mean()) < 0.01
+    assert langid.letter_vectors(points, 100).shape == (2000, 100)

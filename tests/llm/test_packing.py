@@ -83,6 +83,31 @@ def test_contract(spark, tokenizer):
     assert check(tokenizer, docs, packing.pack(df, PATH, max_open=3).collect()) == 0
 
 
+def test_too_many_open_windows():
+    """The fullest window is filled up and closed; the others stay open, and no id is lost."""
+    rng, closed = random.Random(16), []
+    s = packing.SumOfSquares(closed.append, window=64, max_open=4)
+    put = {}
+    for d in range(500):
+        n = rng.randrange(1, 150)
+        put[d] = np.arange(n, dtype="<u4").tobytes()
+        s.add(d, put[d])
+        assert s.n_open <= 4 and s.n_open == s.counts.sum() == sum(map(len, s.open))
+        assert all(sum(len(x[2]) for x in w) == 4 * h for h, ws in enumerate(s.open) for w in ws)
+    assert all(sum(len(x[2]) for x in w) == 256 for w in closed)
+    s.settle()
+    got = {d: b"".join(x[2] for x in sorted((x for w in closed for x in w if x[0] == d), key=lambda x: x[1])) for d in put}
+    assert got == put
+
+
+def test_another_vocabulary_gets_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    other = tokenizers.Tokenizer.from_file(path)
+    texts = ["Two  words,\n and\tmore's 123", "", "Ünï 漢字 don't"]
+    got = [np.frombuffer(b, "<u4").tolist() for b in packing.Encoder(path).encode(texts)]
+    assert got == [other.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame([(None, "a"), (1, "b"), (1, "b")], "doc_id long, text string")
     rows = packing.pack(df, PATH).collect()
