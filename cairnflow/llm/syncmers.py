@@ -37,16 +37,16 @@ def with_anchors(df: DataFrame, text: str, out: str, k: int = K, s: int = S, pos
         return F.least(F.get(g, i), F.get(g, i + last)) <= (F.least(*rest) if len(rest) > 1 else rest[0])
 
     places = F.filter(F.sequence(F.lit(0), F.size(h) - k), closed)
-    low = lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF))
+    low = lambda x: F.shiftright(x, 32).cast("int")
     hashed = lambda i: low(F.xxhash64(F.slice(h, i + 1, k)))
     whole = F.when(F.length(F.coalesce(F.col(text), F.lit(""))) > 0, low(F.xxhash64(F.lit(1), text)))
     if positions:
         made = F.when(F.size(h) >= k, F.transform(places, lambda i: F.struct(i.alias("position"), hashed(i).alias("hash"))))
         one = F.array(F.struct(F.lit(0).alias("position"), whole.alias("hash")))
-        none = F.array().cast("array<struct<position:int,hash:bigint>>")
+        none = F.array().cast("array<struct<position:int,hash:int>>")
     else:
         made = F.when(F.size(h) >= k, F.transform(places, hashed))
-        one, none = F.array(whole), F.array().cast("array<bigint>")
+        one, none = F.array(whole), F.array().cast("array<int>")
     df = df.select("*", made.alias(out)).drop(g)
     df = df.withColumn(out, F.when(F.size(F.coalesce(out, none)) > 0, F.col(out)).when(whole.isNotNull(), one).otherwise(none))
     if short:
@@ -60,7 +60,7 @@ def with_anchors(df: DataFrame, text: str, out: str, k: int = K, s: int = S, pos
 
 def as_text(anchors: str) -> Column:
     """Anchors as one string: eight hex digits each."""
-    return F.array_join(F.transform(anchors, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
+    return F.array_join(F.transform(anchors, lambda x: F.lpad(F.right(F.lower(F.hex(x)), F.lit(8)), 8, "0")), "")
 
 
 def likeness(a: str, b: str) -> Column:
