@@ -14,6 +14,7 @@ import re
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ TRAINING_ROWS = 12_000  #: the field is fitted on at most so many labelled rows,
 THRESHOLD = 0.7
 PURITY = 0.7  #: an attribute marks toxic tokens if at least this share of the tokens that have it is in toxic texts
 WINDOW = 16  #: tokens of a training window
-SEGMENT = 4096  #: longer texts run in parts side by side, each with the messages of those before and after it
+SEGMENT = 256  #: longer texts run in parts side by side, each with the messages of those before and after it
 _EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»“”‘’„…–—"
 _TOKEN = re.compile(r"\S+")
 
@@ -63,9 +64,18 @@ class Field:
     transitions: np.ndarray
     calibration: np.ndarray | None = None
 
+    @cached_property
+    def _starts(self) -> tuple[frozenset[str], frozenset[str]]:
+        """First and last four characters of the beginnings and endings with a weight: most words have neither."""
+        return frozenset(a[:4] for a in self.words if a[0] != "=" and a[-1] == "-" and len(a) > 4), frozenset(a[-4:] for a in self.words if a[0] == "-")
+
     def emission(self, token: str) -> float:
-        get = self.words.get
-        return self.bias + sum(get(a, 0.0) for a in attributes_of(word_of(token)))
+        word = word_of(token)
+        begin, end = self._starts
+        if word[:4] in begin or word[-4:] in end:
+            get = self.words.get
+            return self.bias + sum(get(a, 0.0) for a in attributes_of(word))
+        return self.bias + self.words.get(f"={word}", 0.0)
 
     def marginals(self, emission: np.ndarray, lengths: np.ndarray | None = None, entry: np.ndarray | None = None, leave: np.ndarray | None = None) -> np.ndarray:
         """P(toxic) for each token: ``emission`` is [steps, texts], each as long as ``lengths`` says.
@@ -85,52 +95,69 @@ class Field:
             ahead[k] = r
         q = last = np.ones(odds.shape[1]) if leave is None else leave
         inside = np.full(odds.shape[1], len(odds)) if lengths is None else lengths
+        shortest = inside.min() if len(inside) else 0
         ahead[-1] *= q
         for k in range(len(odds) - 2, -1, -1):
             x = odds[k + 1] * q
-            q = np.where(k + 1 < inside, (t[1, 0] + t[1, 1] * x) / (t[0, 0] + t[0, 1] * x), last)
+            q = (t[1, 0] + t[1, 1] * x) / (t[0, 0] + t[0, 1] * x)
+            if k + 1 >= shortest:
+                q = np.where(k + 1 < inside, q, last)
             ahead[k] *= q
         return ahead / (1 + ahead)
 
-    def long_marginals(self, emission: np.ndarray, segment: int = SEGMENT) -> np.ndarray:
-        """The marginals of one text of any length: segments run side by side.
-
-        For each segment the 2 x 2 product of its steps is taken first; these, one after the other, give the forward
-        message that enters each segment and the backward message at its end, as if it had not been cut.
+    def _products(self, odds: np.ndarray, lengths: np.ndarray, first: np.ndarray) -> list[list[float]]:
+        """The 2 x 2 product of each segment's steps, row by row: from the state before it to that of its last token.
+        Of a text's first segment, which has no state before it, the first row is the forward message at its end."""
+        t = np.exp(self.transitions)
+        x = np.array([np.ones(len(lengths)), np.zeros(len(lengths))])  # [from clean, from toxic] to clean
+        y = np.array([np.zeros(len(lengths)), np.ones(len(lengths))])  # the same to toxic
+        for k in range(len(odds)):
+            clean, toxic = x * t[0, 0] + y * t[1, 0], (x * t[0, 1] + y * t[1, 1]) * odds[k]
+            if k == 0:
+                clean[:, first], toxic[:, first] = 1.0, odds[0, first]
+            if k % 8 == 7:
+                scale = 1 / (clean + toxic).sum(axis=0)
+                clean, toxic = clean * scale, toxic * scale
+            on = k < lengths
+            x, y = (clean, toxic) if on.all() else (np.where(on, clean, x), np.where(on, toxic, y))
+        scale = 1 / (x + y).sum(axis=0)
+        return np.array([x[0], y[0], x[1], y[1]] * scale).T.tolist()
+
+    def all_marginals(self, emissions: list[np.ndarray], segment: int = SEGMENT) -> list[np.ndarray]:
+        """The marginals of texts of any length (none empty), cut into segments that run side by side.
+
+        Each segment's 2 x 2 product is taken first; a text's products, one after the other, give the forward message
+        that enters each of its segments and the backward message at its end, as if it had not been cut.
         """
-        n, t = len(emission), np.exp(self.transitions)
-        parts = -(-n // segment)
-        grid = np.zeros((parts * segment,))
-        grid[:n] = emission
-        grid = np.ascontiguousarray(grid.reshape(parts, segment).T)
-        lengths = np.full(parts, segment)
-        lengths[-1] = n - segment * (parts - 1)
-        odds = np.exp(np.clip(grid, -50, 50))
-        product = np.zeros((2, 2, parts))  # from the state before a segment to that of its last token
-        product[0, 0] = product[1, 1] = 1.0
-        for k in range(segment):
-            step = np.stack([product[:, 0] * t[0, 0] + product[:, 1] * t[1, 0], (product[:, 0] * t[0, 1] + product[:, 1] * t[1, 1]) * odds[k]], axis=1)
-            product = np.where(k < lengths, step / step.sum(axis=(0, 1)), product)
-        first = self._forward_end(odds[: lengths[0], 0], t)
-        entry, leave = np.full(parts, np.nan), np.ones(parts)
-        message = first
-        for s in range(1, parts):
-            entry[s] = message[1] / message[0]
-            message = message @ product[:, :, s]
-            message = message / message.sum()
-        message = np.ones(2)
-        for s in range(parts - 1, 0, -1):
-            message = product[:, :, s] @ message
-            message = message / message.sum()
-            leave[s - 1] = message[1] / message[0]
-        return self.marginals(grid, lengths, entry, leave).T.reshape(-1)[:n]
-
-    @staticmethod
-    def _forward_end(odds: np.ndarray, t: np.ndarray) -> np.ndarray:
-        r = odds[0]
-        for x in odds[1:]:
-            r = x * (t[0, 1] + r * t[1, 1]) / (t[0, 0] + r * t[1, 0])
-        return np.array([1.0, r]) / (1 + r)
+        parts = [(k, at, min(at + segment, len(e))) for k, e in enumerate(emissions) for at in range(0, len(e), segment)]
+        lengths = np.array([b - a for _, a, b in parts])
+        grid = np.zeros((lengths.max(), len(parts)))
+        for c, (k, a, b) in enumerate(parts):
+            grid[: b - a, c] = emissions[k][a:b]
+        entry, leave = np.full(len(parts), np.nan), np.ones(len(parts))
+        cut = np.array([len(emissions[k]) > segment for k, _, _ in parts])
+        if cut.any():
+            at = np.nonzero(cut)[0]
+            products = self._products(np.exp(np.clip(grid[:, at], -50, 50)), lengths[at], np.array([parts[c][1] == 0 for c in at]))
+            clean = toxic = 1.0
+            for c, (cc, ct, tc, tt) in zip(at, products):
+                if parts[c][1]:
+                    entry[c] = toxic / clean
+                    clean, toxic = clean * cc + toxic * tc, clean * ct + toxic * tt
+                else:
+                    clean, toxic = cc, ct
+                clean, toxic = clean / (clean + toxic), toxic / (clean + toxic)
+            for c, (cc, ct, tc, tt) in zip(at[::-1], products[::-1]):
+                if parts[c][2] == len(emissions[parts[c][0]]):
+                    clean = toxic = 1.0
+                leave[c] = toxic / clean
+                clean, toxic = cc * clean + ct * toxic, tc * clean + tt * toxic
+                clean, toxic = clean / (clean + toxic), toxic / (clean + toxic)
+        p = self.marginals(grid, lengths, entry, leave)
+        out = [np.empty(len(e)) for e in emissions]
+        for c, (k, a, b) in enumerate(parts):
+            out[k][a:b] = p[: b - a, c]
+        return out
 
     def score(self, p: np.ndarray) -> float:
         """A text's score from its marginals."""
@@ -244,10 +271,19 @@ def fit(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS)
     spark = docs.sparkSession
     known = bounded_sample(labels.where(F.col("toxic").isNotNull() & ~held_out()).select(F.col("doc_id").alias("id"), "toxic"), "id", training_rows)
     known = spark.createDataFrame(known.dropDuplicates(["id"]).toArrow(), known.schema)  # at most training_rows small rows
-    sample = written(docs.join(F.broadcast(known), F.col("doc_id") == F.col("id")).where("text is not null").select("text", F.col("toxic").cast("int").alias("toxic")).distinct().repartition(spark.sparkContext.defaultParallelism), "labelled")
+    texts = docs.join(F.broadcast(known), F.col("doc_id") == F.col("id")).where("text is not null").select("text", F.col("toxic").cast("int").alias("toxic")).distinct()
+
+    def classed(batches):
+        for b in batches:
+            classes = [_text_class([word_of(t) for t in text.split()]) for text in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(classes, pa.int64())], names=["text", "toxic", "class"])
+
+    # near copies side by side
+    by_class = texts.mapInArrow(classed, "text string, toxic int, class long").repartition(spark.sparkContext.defaultParallelism, "class").sortWithinPartitions("class")
+    sample = written(by_class, "labelled")
 
     def attributes(batches, only=None):
-        """(attribute, class of the text, how many of the text's words have it)"""
+        """(attribute, n: how many words of a text have it, texts: how many have it), of near copies the most."""
         cache: dict[str, list[str]] = {}
 
         def of(word: str) -> list[str]:
@@ -258,20 +294,27 @@ def fit(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS)
                     cache[word] = got
             return got
 
+        total: Counter = Counter()
+        texts: Counter = Counter()
+        held: Counter = Counter()
+        last = None
+
+        def close() -> None:
+            total.update(held)
+            texts.update(held.keys())
+
         for b in batches:
-            names, classes, counts = [], [], []
-            for text in b.column(0).to_pylist():
-                words = [word_of(t) for t in text.split()]
-                found = Counter(a for w in set(words) for a in of(w))
-                names += found.keys()
-                classes += [_text_class(words)] * len(found)
-                counts += found.values()
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(classes, pa.int64()), pa.array(counts, pa.int32())], names=["attribute", "class", "n"])
+            for text, number in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if number != last:
+                    close()
+                    held, last = Counter(), number
+                held |= Counter(a for w in {word_of(t) for t in text.split()} for a in of(w))
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.string()), pa.array(total.values(), pa.int64()), pa.array([texts[a] for a in total], pa.int64())], names=["attribute", "n", "texts"])
 
     def counted(label: int, run, least: int) -> list:
-        """What each attribute has of the texts with this label, near copies once: the text with most counts."""
-        each = sample.where(F.col("toxic") == label).select("text").mapInArrow(run, "attribute string, class long, n int")
-        return each.groupBy("attribute", "class").agg(F.max("n").alias("n")).groupBy("attribute").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).where(F.col("texts") >= least).collect()
+        each = sample.where(F.col("toxic") == label).select("text", "class").mapInArrow(run, "attribute string, n long, texts long")
+        return each.groupBy("attribute").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts")).where(F.col("texts") >= least).collect()
 
     # at most what the training rows hold; attributes of fewer than five toxic texts mark nothing
     mine = counted(1, attributes, 5)
@@ -300,7 +343,7 @@ def fit(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS)
                     found["\n".join(part) + ("\t1" if label == 1 and any(part) else "\t0")] += 1
         yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["window", "n"])
 
-    rows = sample.mapInArrow(windows, "window string, n long").groupBy("window").agg(F.sum("n").alias("n")).collect()  # the training rows' text at most
+    rows = sample.select("text", "toxic").mapInArrow(windows, "window string, n long").groupBy("window").agg(F.sum("n").alias("n")).collect()  # the training rows' text at most
     cut = []
     for r in sorted(rows, key=lambda r: r.window):
         text, _, label = r.window.rpartition("\t")
@@ -314,7 +357,7 @@ def fit(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS)
             rows = [evidence(p).tolist() for p in tagger.marginals(b.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(rows, pa.list_(pa.float64()))], names=["toxic", "evidence"])
 
-    found = sample.mapInArrow(seen, "toxic int, evidence array<double>").collect()  # at most training_rows
+    found = sample.select("text", "toxic").mapInArrow(seen, "toxic int, evidence array<double>").collect()  # at most training_rows
     forget(spark, sample)
     found = sorted((r.toxic, *r.evidence) for r in found)
     if marks and found:
@@ -346,21 +389,17 @@ class Tagger:
         out = [np.zeros(len(e)) for e in emissions]
         like: dict[int, list[int]] = {}
         for k, e in enumerate(emissions):
-            if len(e) > SEGMENT:
-                out[k] = self.field.long_marginals(e)
-            elif len(e):
-                like.setdefault((len(e) - 1).bit_length(), []).append(k)
+            if len(e):
+                like.setdefault(min(len(e) - 1, SEGMENT).bit_length(), []).append(k)
         for rows in like.values():
-            longest = max(len(emissions[k]) for k in rows)
-            width = max(1, 500_000 // longest)
-            for first in range(0, len(rows), width):
-                part = rows[first : first + width]
-                grid = np.zeros((longest, len(part)))
-                for c, k in enumerate(part):
-                    grid[: len(emissions[k]), c] = emissions[k]
-                p = self.field.marginals(grid, np.array([len(emissions[k]) for k in part]))
-                for c, k in enumerate(part):
-                    out[k] = p[: len(emissions[k]), c]
+            some, size = [], 0
+            for n, k in enumerate(rows, 1):
+                some.append(k)
+                size += len(emissions[k])
+                if size > 1_000_000 or n == len(rows):
+                    for j, p in zip(some, self.field.all_marginals([emissions[j] for j in some])):
+                        out[j] = p
+                    some, size = [], 0
         return out
 
     def spans(self, text: str, p: np.ndarray) -> list[dict]:

@@ -40,7 +40,10 @@ def test_padding_and_segments_change_nothing():
         assert [len(p) for p in got] == [10_000, 3, 0, 0, 1, 7]
         for n, segment in ((7, 3), (9, 3), (8, 4), (5, 1)):
             e = rng.normal(size=n) * 3
-            assert np.allclose(field.long_marginals(e, segment), exact(field, e))
+            other = rng.normal(size=4) * 3
+            got = field.all_marginals([e, other, e[:segment], e], segment)
+            assert np.allclose(got[0], exact(field, e)) and np.allclose(got[3], exact(field, e))
+            assert np.allclose(got[1], exact(field, other)) and np.allclose(got[2], exact(field, e[:segment]))
 
 
 def test_calibration_tells_one_strong_word_from_chance():
@@ -72,6 +75,13 @@ def test_marks_need_support_and_purity():
     assert toxicity.toxic_attributes(toxic, Counter({"=fine": 50, "b-": 2}), texts, 100) == {"=bad", "b-"}
 
 
+def test_emission_sums_all_attributes():
+    field = toxicity.Field({"=scum": 3.0, "abcd-": 1.0, "abcdef-": 0.5, "-wxyz": 0.25, "=-": 9.0, "=x-": 4.0}, -1.0, np.zeros((2, 2)))
+    for token in ("scum", "Scum!", "abcdefg", "abcdx", "abcd", "vwxyz", "wxyz", "x", "", "-", "abcdefvwxyz", "other", "x-"):
+        word = toxicity.word_of(token)
+        assert field.emission(token) == -1.0 + sum(field.words.get(a, 0.0) for a in toxicity.attributes_of(word))
+
+
 def test_words_are_whole():
     """Words that differ after many characters are different ones."""
     a, b = "x" * 80 + "a", "x" * 80 + "b"
