@@ -83,11 +83,8 @@ def project_to(data: Data, target: Data | Projection, method: str | None = None)
     return Raster(call(data.cells, data.grid, new), new)
 
 
-MASK_VERTICES = 100_000  #: of a mask of features; they are collected on the driver
-
-
 def mask_to(data: Data, target: Data, touches: bool = False) -> Data:
-    """Null outside the target; features are cut by a convex target, and left as they are by a raster."""
+    """Null outside the target; features are cut by the target's, and left as they are by a raster."""
     if isinstance(data, Raster):
         if isinstance(target, Raster):
             on_grid = target if target.grid.same_cells(data.grid) else project_to(target, Raster(data.cells, data.grid), "near")
@@ -96,11 +93,7 @@ def mask_to(data: Data, target: Data, touches: bool = False) -> Data:
         return Raster(v.mask_cells(data.cells, data.grid, area, touches), data.grid)
     if isinstance(target, Raster):
         return data
-    area = v.project(target.rows, target.projection, data.projection)
-    rows = v.vertices(area).where("not hole").orderBy("fid", "part", "place").limit(MASK_VERTICES + 1).select("x", "y").collect()
-    if len(rows) > MASK_VERTICES:
-        raise ValueError(f"the mask has more than {MASK_VERTICES} vertices")
-    return Features(v.clip(data.rows, [(r.x, r.y) for r in rows]), data.projection) if rows else Features(data.rows.where("false"), data.projection)
+    return Features(v.intersect(data.rows, v.project(target.rows, target.projection, data.projection)), data.projection)
 
 
 def fix_errors(data: Data) -> Data:
@@ -130,22 +123,25 @@ def conform_all(items: dict[str, Data], **settings) -> dict[str, Data]:
     return {name: conform(data, **settings) for name, data in items.items()}
 
 
-#: Older names of arguments, and the targets that they stand for.
+#: Older names of arguments, and the steps that they are the target of. Of two for one step the later one counts.
 OLD_NAMES = {
     "study_area": ("crop", "mask"),
     "raster_to_match": ("crop", "project", "to"),
     "target_crs": ("project",),
-    "use_sa_crs": ("project",),
 }
 
 
 def with_old_names(**given) -> dict:
-    """Arguments of ``conform`` from older names; a name given anew wins."""
+    """Arguments of ``conform`` from older names; a name given anew wins.
+
+    ``use_sa_crs``: True projects to the study area, False doesn't project. ``mask_with_rtm``: the raster is the mask.
+    """
     if "filename2" in given:
         raise ValueError("filename2 is gone; give write")
-    out = {k: x for k, x in given.items() if k not in OLD_NAMES}
-    for old, new in OLD_NAMES.items():
-        if given.get(old) is not None:
-            for name in new:
-                out.setdefault(name, given[old])
-    return out
+    old = {k: x for k, x in given.items() if k in (*OLD_NAMES, "use_sa_crs", "mask_with_rtm") and x is not None}
+    made = {step: old[name] for name, steps in OLD_NAMES.items() if name in old for step in steps}
+    if "use_sa_crs" in old:
+        made["project"] = old.get("study_area") if old["use_sa_crs"] else SKIP
+    if old.get("mask_with_rtm"):
+        made["mask"] = old.get("raster_to_match")
+    return made | {k: x for k, x in given.items() if k not in (*OLD_NAMES, "use_sa_crs", "mask_with_rtm")}

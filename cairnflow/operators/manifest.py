@@ -118,18 +118,18 @@ PURGE = {
     3: ("archive",),
     4: ("also",),
     5: ("target", "also"),
-    6: ("target", "archive"),
-    7: ("target", "archive", "also"),
+    6: ("target", "archive", "also"),
+    7: ("target", "archive", "also", "url"),
 }
 
 
-def purge(manifest: DataFrame, level: int, target: Iterable[str] = (), archive: Iterable[str] = (), also: Iterable[str] = ()) -> DataFrame:
+def purge(manifest: DataFrame, level: int, target: Iterable[str] = (), archive: Iterable[str] = (), also: Iterable[str] = (), url: Iterable[str] = ()) -> DataFrame:
     """``manifest`` without the rows of the roles that the level names; 0 keeps all, 1 drops all."""
     if not level:
         return manifest
     if PURGE[level] == ("all",):
         return manifest.where(F.lit(False))
-    roles = {"target": target, "archive": archive, "also": also}
+    roles = {"target": target, "archive": archive, "also": also, "url": url}
     gone = sorted({str(f) for role in PURGE[level] for f in roles[role]})
     return manifest.where(~F.col("file").isin(gone)) if gone else manifest
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -199,6 +199,106 @@ def clip(df: DataFrame, mask: list[tuple[float, float]]) -> DataFrame:
     return df.mapInPandas(run, schema)
 
 
+def slabs(rings: list[np.ndarray]) -> list[np.ndarray]:
+    """The inside of rings (even-odd, so holes and concave rings need no care) as convex pieces.
+
+    Between two neighbouring heights at which a vertex lies or two edges cross, edges don't meet, so the inside there
+    is a row of trapezoids.
+    """
+    segments = np.array([[*p, *q] for r in rings for p, q in zip(r, np.roll(r, -1, axis=0)) if p[1] != q[1]]).reshape(-1, 4)
+    if not len(segments):
+        return []
+    x1, y1, x2, y2 = segments.T
+    heights = set(y1.tolist()) | set(y2.tolist())
+    for k in range(len(segments)):
+        dx, dy, ex, ey = x2[k] - x1[k], y2[k] - y1[k], x2[k + 1 :] - x1[k + 1 :], y2[k + 1 :] - y1[k + 1 :]
+        den = dx * ey - dy * ex
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t = ((x1[k + 1 :] - x1[k]) * ey - (y1[k + 1 :] - y1[k]) * ex) / den
+            u = ((x1[k + 1 :] - x1[k]) * dy - (y1[k + 1 :] - y1[k]) * dx) / den
+        heights |= set((y1[k] + t[(den != 0) & (t > 0) & (t < 1) & (u > 0) & (u < 1)] * dy).tolist())
+    made = []
+    levels = sorted(heights)
+    for low, high in zip(levels, levels[1:]):
+        on = (np.minimum(y1, y2) <= low) & (np.maximum(y1, y2) >= high)
+        at = lambda y: x1[on] + (y - y1[on]) * (x2[on] - x1[on]) / (y2[on] - y1[on])
+        bottom, top = at(low), at(high)
+        order = np.argsort(bottom + top, kind="stable")
+        for a, b in zip(order[::2], order[1::2]):
+            piece = [(bottom[a], low), (bottom[b], low), (top[b], high), (top[a], high)]
+            made.append(np.array([p for p, q in zip(piece, piece[-1:] + piece[:-1]) if p != q]))
+    return [p for p in made if len(p) > 2]
+
+
+_TILES = 64  #: tiles on each side of the mask's extent
+
+
+def intersect(df: DataFrame, mask: DataFrame) -> DataFrame:
+    """``df`` cut by the features of ``mask``: a row for each two that have an area in common, as pieces.
+
+    Masks may be concave, have holes and several parts. Their convex pieces and the features meet by tiles of the
+    mask's extent, by boxes within these, and each pair is cut by itself; nothing is collected but the extent. Lines
+    and points aren't cut; empty geometries meet nothing.
+    """
+    bound = extent(mask)
+    if bound is None:
+        return df.where(F.lit(False))
+
+    def decompose(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            rows = []
+            for fid, g in zip(pdf["fid"], pdf["geom"]):
+                rings = [np.array([[v["x"], v["y"]] for v in p["ring"]], dtype=float).reshape(-1, 2) for p in g["parts"]] if g is not None else []
+                rows += [(fid, k, p.tolist(), *p.min(axis=0), *p.max(axis=0)) for k, p in enumerate(slabs([r for r in rings if len(r) > 2]))]
+            yield pd.DataFrame(rows, columns=["mask_fid", "piece", "convex", "x0", "y0", "x1", "y1"])
+
+    pieces = mask.select("fid", "geom").mapInPandas(decompose, "mask_fid long, piece int, convex array<array<double>>, x0 double, y0 double, x1 double, y1 double")
+    width, height = (max(b - a, 1e-300) / _TILES for a, b in ((bound.xmin, bound.xmax), (bound.ymin, bound.ymax)))
+    tile = lambda c, low, size: F.least(F.greatest(F.floor((c - F.lit(low)) / F.lit(size)), F.lit(0)), F.lit(_TILES - 1)).cast("int")
+
+    def tiles(rows: DataFrame, x0: str, y0: str, x1: str, y1: str) -> DataFrame:
+        across = rows.select("*", F.explode(F.sequence(tile(F.col(x0), bound.xmin, width), tile(F.col(x1), bound.xmin, width))).alias("tx"))
+        return across.select("*", F.explode(F.sequence(tile(F.col(y0), bound.ymin, height), tile(F.col(y1), bound.ymin, height))).alias("ty"))
+
+    near = boxes(df).where((F.col("xmax") >= bound.xmin) & (F.col("xmin") <= bound.xmax) & (F.col("ymax") >= bound.ymin) & (F.col("ymin") <= bound.ymax))
+    met = tiles(near, "xmin", "ymin", "xmax", "ymax").join(tiles(pieces, "x0", "y0", "x1", "y1"), ["tx", "ty"])
+    met = met.where("xmin < x1 and xmax > x0 and ymin < y1 and ymax > y0")
+    # a pair meets in several tiles; it counts in the first one of those that both cover
+    first = (F.col("tx") == F.greatest(tile(F.col("xmin"), bound.xmin, width), tile(F.col("x0"), bound.xmin, width))) & (F.col("ty") == F.greatest(tile(F.col("ymin"), bound.ymin, height), tile(F.col("y0"), bound.ymin, height)))
+    pairs = met.where(first).select("fid", "mask_fid", "piece", "convex")
+
+    def cut(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            rows = []
+            for fid, mask_fid, convex, g in zip(pdf["fid"], pdf["mask_fid"], pdf["convex"], pdf["geom"]):
+                by = np.array([list(p) for p in convex])
+                for p in g["parts"]:
+                    ring = clip_ring(np.array([[v["x"], v["y"]] for v in p["ring"]], dtype=float).reshape(-1, 2), by)
+                    if len(ring) > 2:
+                        rows.append((fid, mask_fid, {"hole": p["hole"], "ring": [{"x": x, "y": y} for x, y in ring.tolist()]}))
+            yield pd.DataFrame(rows, columns=["fid", "mask_fid", "part"])
+
+    polygons = df.where("geom.type = 'polygon'").select("fid", "geom")
+    parts = pairs.join(polygons, "fid").select("fid", "mask_fid", "convex", "geom").mapInPandas(cut, T.StructType([T.StructField("fid", T.LongType()), T.StructField("mask_fid", T.LongType()), T.StructField("part", PART)]))
+    whole = parts.groupBy("fid", "mask_fid").agg(F.struct(F.lit("polygon").alias("type"), F.collect_list("part").alias("parts")).alias("geom"))
+    whole = whole.where(area(F.col("geom")) > 0)
+    return df.drop("geom").join(whole.drop("mask_fid"), "fid").select(*df.columns)
+
+
+def area(geom: Column) -> Column:
+    """The area of a polygon: its rings' less its holes'."""
+
+    def ring_area(ring: Column) -> Column:
+        after = F.concat(F.slice(ring, F.lit(2), F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
+        return F.abs(F.aggregate(F.zip_with(ring, after, lambda p, q: p["x"] * q["y"] - q["x"] * p["y"]), F.lit(0.0), lambda s, x: s + x)) / 2
+
+    return F.aggregate(geom["parts"], F.lit(0.0), lambda s, p: s + F.when(p["hole"], -ring_area(p["ring"])).otherwise(ring_area(p["ring"])))
+
+
 def ring_crossings(ring: np.ndarray) -> list[tuple[int, int, float, float]]:
     """Pairs of edges of a closed ring that cross, with the place."""
     n, found = len(ring), []

@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -223,7 +224,8 @@ def tags_merge(spark, d):
 def tags_upsert(spark, d):
     """The latest row of a log for each key."""
     e = table(spark, d, "events")
-    return e.groupBy(F.col("user_id").alias("cacheId")).agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("tagValue"), F.max("ts").alias("updated"))
+    log = e.select(F.col("user_id").alias("cacheId"), F.lit("kind").alias("tagKey"), F.col("event_type").alias("tagValue"), F.col("ts").alias("createdDate"), F.struct("ts", "event_id").alias("seq"))
+    return t.latest_values(log, ["kind"], "seq").select("cacheId", "tagValue", F.col("createdDate").alias("updated"))
 
 
 @query("WITH h AS (SELECT doc_id, md5(text) AS resultHash FROM documents), f AS (SELECT resultHash, min(doc_id) AS objectId FROM h GROUP BY resultHash) SELECT doc_id, resultHash, objectId FROM h JOIN f USING (resultHash)")
@@ -305,6 +307,17 @@ def manifest_purge(spark, d):
     return m.purge(manifests(spark, d)[0], 7, target=["1"], archive=["2"], also=["3"])
 
 
+@query(f"""WITH {MANIFEST_SQL}, roles(file, role) AS (VALUES ('1', 'target'), ('2', 'archive'), ('3', 'also'), ('4', 'url')),
+dropped(level, role) AS (VALUES (2, 'target'), (3, 'archive'), (4, 'also'), (5, 'target'), (5, 'also'), (6, 'target'), (6, 'also'), (6, 'archive'), (7, 'target'), (7, 'also'), (7, 'archive'), (7, 'url'))
+SELECT CAST(l.level AS INTEGER) AS level, e.file FROM expected e, range(8) l(level)
+WHERE l.level <> 1 AND e.file NOT IN (SELECT r.file FROM dropped x JOIN roles r ON r.role = x.role WHERE x.level = l.level)""")
+def manifest_purge_levels(spark, d):
+    """What each level of a purge leaves."""
+    rows = manifests(spark, d)[0]
+    left = [m.purge(rows, k, target=["1"], archive=["2"], also=["3"], url=["4"]).select(F.lit(k).alias("level"), "file") for k in range(8)]
+    return reduce(DataFrame.union, left)
+
+
 @query("""WITH f AS (SELECT regexp_extract(url, '://(.*?)([?#].*)?$', 1) AS p, page_id FROM pages),
 r AS (SELECT 'd/' || CAST(page_id % 5 AS VARCHAR) || '/' || CAST(page_id AS VARCHAR) AS expectedFile, CASE WHEN page_id % 3 = 0 THEN 'OK' ELSE 'FAIL' END AS result FROM f
   UNION ALL SELECT 'd/' || CAST(k AS VARCHAR), 'FAIL' FROM range(7) x(k))
@@ -372,6 +385,17 @@ def digest_rows(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.md5(F.col("l_extendedprice").cast("decimal(18,2)").cast("string")).alias("hash"))
 
 
+@query("""SELECT l_returnflag, count(*) AS n, count(DISTINCT struct_pack(q := l_quantity, d := l_discount, t := l_tax, s := l_linestatus)) AS n_different
+FROM lineitem GROUP BY l_returnflag""")
+def digest_different_rows(spark, d):
+    """Rows told apart by their hashes."""
+    from cairnflow.functions.digest import row_hash
+
+    rows = table(spark, d, "lineitem").select("l_quantity", "l_discount", "l_tax", "l_linestatus", "l_returnflag")
+    hashed = rows.select("l_returnflag", row_hash(rows).alias("h"))
+    return hashed.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.countDistinct("h").alias("n_different"))
+
+
 @query("SELECT round_even(c_acctbal, 1) AS rounded, count(*) AS n FROM customer GROUP BY 1")
 def round_half_even(spark, d):
     return table(spark, d, "customer").groupBy(sc.round_fraction("c_acctbal", 1).alias("rounded")).agg(F.count("*").alias("n"))
@@ -524,7 +548,35 @@ def vector_clip(spark, d):
     return v.boxes(v.clip(_squares(spark, d), [(12, 5), (35, 5), (35, 27), (12, 27)]))
 
 
-@query()
+_L = "5e0 AS ax0, 25e0 AS ax1, 5e0 AS ay0, 12e0 AS ay1, 5e0 AS bx0, 12e0 AS bx1, 12e0 AS by0, 30e0 AS by1, 30e0 AS cx0, 45e0 AS cx1, 30e0 AS cy0, 48e0 AS cy1"
+
+
+def _overlap(k: str) -> str:
+    return f"greatest(least(x + 9, {k}x1) - greatest(x + 1, {k}x0), 0) * greatest(least(y + 9, {k}y1) - greatest(y + 1, {k}y0), 0)"
+
+
+@query(f"""WITH s AS (SELECT CAST(n_nationkey AS BIGINT) AS fid, n_nationkey % 5 * 10e0 AS x, n_nationkey // 5 * 10e0 AS y, {_L} FROM nation),
+a AS (SELECT fid, {_overlap('a')} + {_overlap('b')} + {_overlap('c')} AS area FROM s)
+SELECT fid, round(area, 6) AS area FROM a WHERE area > 0""")
+def vector_clip_mask(spark, d):
+    """Squares cut by two features, one of them concave: what is left of their areas."""
+    from cairnflow.operators.conform import Features, mask_to
+
+    shapes = v.features(spark, [(0, v.polygon([(5, 5), (25, 5), (25, 12), (12, 12), (12, 30), (5, 30)])), (1, v.polygon([(30, 30), (45, 30), (45, 48), (30, 48)]))])
+    cut = mask_to(Features(_squares(spark, d), pr.LonLat()), Features(shapes, pr.LonLat()))
+    return cut.rows.select("fid", F.round(v.area(F.col("geom")), 6).alias("area"))
+
+
+@query(f"""WITH s AS (SELECT CAST(n_nationkey AS BIGINT) AS fid, n_nationkey % 5 * 10e0 AS x, n_nationkey // 5 * 10e0 AS y,
+  2e0 AS ax0, 38e0 AS ax1, 2e0 AS ay0, 38e0 AS ay1, 14e0 AS bx0, 27e0 AS bx1, 3e0 AS by0, 26e0 AS by1 FROM nation),
+a AS (SELECT fid, {_overlap('a')} - {_overlap('b')} AS area FROM s) SELECT fid, round(area, 6) AS area FROM a WHERE area > 0""")
+def vector_clip_hole(spark, d):
+    """Squares cut by a feature with a hole."""
+    ring = v.features(spark, [(0, v.polygon([(2, 2), (38, 2), (38, 38), (2, 38)], [(14, 3), (27, 3), (27, 26), (14, 26)]))])
+    return v.intersect(_squares(spark, d), ring).select("fid", F.round(v.area(F.col("geom")), 6).alias("area"))
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS fid, TRUE AS valid, CAST(2 AS INTEGER) AS n_parts FROM nation")
 def vector_repair(spark, d):
     """A bow-tie for each nation, split where it crosses itself."""
     s = _squares(spark, d)
@@ -540,6 +592,8 @@ def vector_repair(spark, d):
 
 def _folder(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and (not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     return f"{shared.rstrip('/')}/{os.urandom(8).hex()}" if shared else f"file://{tempfile.mkdtemp()}"
 
 
@@ -576,11 +630,46 @@ def memo_nested(spark, d):
     return memo(outer, d, store=store, user_tags=["level:outer"]).value
 
 
-@query()
+@query("SELECT * FROM (VALUES ('inner', 'inner'), ('inner', 'outer'), ('outer', 'outer')) x(function, level)")
+def memo_nested_tags(spark, d):
+    """The tags of a call and of the one in it, which has inherited the outer one's."""
+    from cairnflow.plans.memo import memo
+    from cairnflow.plans.store import Store
+
+    store = Store(spark, _folder(spark))
+    inner = lambda: table(spark, d, "region").count()
+    outer = lambda: memo(inner, store=store, user_tags=["level:inner"], function_name="inner").value
+    memo(outer, store=store, user_tags=["level:outer"], function_name="outer")
+    tags = store.tags()
+    names = tags.where("tagKey = 'function'").select("cacheId", F.col("tagValue").alias("function"))
+    return names.join(tags.where("tagKey = 'level'").select("cacheId", F.col("tagValue").alias("level")), "cacheId").select("function", "level")
+
+
+@query("""SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1""")
+def store_compacted(spark, d):
+    """A store whose log is compacted after an entry was made anew: the entry is there with its last value."""
+    from cairnflow.plans.memo import memo
+    from cairnflow.plans.store import Store
+
+    def counts(path: str):
+        return table(spark, path, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
+
+    store = Store(spark, _folder(spark))
+    memo(counts, d, store=store)
+    memo(counts, d, store=store, use_cache="overwrite")
+    store.compact()
+    again = memo(counts, d, store=store)
+    return again.value.where(F.lit(not again.is_new))
+
+
+@query("""SELECT 0 AS layer, CAST(r - 1 AS INTEGER) AS "row", CAST(c - 1 AS INTEGER) AS col, CASE WHEN (r + c) % 5 <> 0 THEN CAST(r * 6 + c AS DOUBLE) END AS value
+FROM range(1, 3) x(r), range(1, 5) y(c)""")
 def ingest_zip(spark, d):
-    """A text grid in an archive within an archive: taken out, read, cropped."""
+    """A text grid in an archive within an archive: taken out, read, stored, read from the store, cropped."""
+    from cairnflow.plans.memo import memo
+    from cairnflow.plans.store import Store
     from cairnflow.operators.conform import Features, conform
-    from cairnflow.sources.ingest import Source, ingest
+    from cairnflow.sources.ingest import Source
     from cairnflow.sources.readers import read_ascii_grid
 
     folder = tempfile.mkdtemp()
@@ -600,6 +689,8 @@ def ingest_zip(spark, d):
     out = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(place, True)
     out.write(bytearray(lines.encode()))
     out.close()
-    raster = read_ascii_grid(spark, remote)
+    store = Store(spark, _folder(spark))
+    for _ in range(2):
+        raster = memo(lambda: read_ascii_grid(spark, remote), store=store, function_name="heights").value
     area = Features(v.features(spark, [(0, v.polygon([(1, 1), (5, 1), (5, 3), (1, 3)]))]), pr.LonLat())
     return conform(raster, area).cells

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from cairnflow.functions import digest
 from cairnflow.operators import tags as tag_ops
-from cairnflow.plans.store import Store
+from cairnflow.plans.store import CODECS, Store
 
 _NESTED: contextvars.ContextVar[tuple] = contextvars.ContextVar("nested", default=())
 _LOCKS: dict[tuple[str, str], threading.Lock] = {}
@@ -224,6 +224,12 @@ def memo(
                 if link_result:
                     hashed = digest.frame_hash(first.load(key))
                     _link(first, key, hashed)
+            elif isinstance(value, tuple(made for made, _, _ in CODECS.values())):
+                first.save(key, value, rows)
+                if link_result:
+                    made, table, described = next(c for c in CODECS.values() if isinstance(value, c[0]))
+                    kept = first.load(key)
+                    _link(first, key, digest.text_hash(repr([made.__name__, digest.frame_hash(getattr(kept, table)), getattr(kept, described)])))
             else:
                 hashed = digest.text_hash(repr(digest.plain(value)))
                 twin = first.same_result(hashed) if link_result else None

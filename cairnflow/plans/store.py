@@ -1,6 +1,6 @@
 """A store of results on any Hadoop file system: objects by id, and an append-only log of tags.
 
-``<root>/objects/<objectId>/`` holds a table (Parquet) or one pickled value; ``<root>/tags/`` the log, a folder of
+``<root>/objects/<objectId>/`` holds a table (Parquet), a raster or features (their table and what describes it) or one pickled value; ``<root>/tags/`` the log, a folder of
 Parquet for each append, with columns (cacheId, tagKey, tagValue, createdDate, seq, op). An object is written first and its tags last: what has no
 tags doesn't exist. Deleting appends a tombstone; ``compact`` rewrites the log without what is dead.
 """
@@ -19,9 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairnflow.operators import tags as tag_ops
+from cairnflow.operators.conform import Features, Raster
 
 LOG = T.StructType([T.StructField("cacheId", T.StringType()), *tag_ops.SCHEMA.fields[1:], T.StructField("seq", T.LongType()), T.StructField("op", T.StringType())])
 VALUE = "value binary"
+#: Values that hold a table: their class, the field with the table, the field that describes it.
+CODECS: dict[str, tuple[type, str, str]] = {"raster": (Raster, "cells", "grid"), "features": (Features, "rows", "projection")}
 
 
 class Store:
@@ -162,12 +165,27 @@ class Store:
             self.memory.pop(i, None)
 
     def compact(self) -> None:
-        """Rewrite the log with its live rows only."""
-        new = f"{self.root}/tags-{uuid.uuid4().hex}"
-        self.tags().withColumn("seq", F.row_number().over(Window.partitionBy("cacheId").orderBy("createdDate", "tagKey", "tagValue")).cast("long")).withColumn("op", F.lit("add")).select(*LOG.fieldNames()).write.parquet(new)
-        self._delete(self.tags_path)
-        fs, source = self._fs(new)
-        fs.rename(source, self._fs(self.tags_path)[1])
+        """Put the live rows of the appends so far into one, which then replaces them.
+
+        The new folder is there before an old one goes, and old ones go from the first on, so a reader, a crash or an
+        append at the same time loses nothing: rows keep their sequence, and at worst some are there twice.
+        """
+        fs, top = self._fs(self.tags_path)
+        old = sorted(s.getPath().toString() for s in fs.listStatus(top))
+        if not old:
+            return
+        log = self.spark.read.schema(LOG).option("recursiveFileLookup", "true").parquet(*old)
+        dead = log.where("op = 'delete'").groupBy("cacheId").agg(F.max("seq").alias("dead"))
+        live = log.where("op = 'add'").join(dead, "cacheId", "left").where("dead is null or seq > dead").drop("dead")
+        single = F.col("tagKey").isin(list(tag_ops.SINGLE_VALUED))
+        last = F.max(F.when(single, F.col("seq"))).over(Window.partitionBy("cacheId", "tagKey"))
+        kept = live.withColumn("__last", last).where(~single | (F.col("seq") == F.col("__last"))).select(*LOG.fieldNames()).distinct()
+        name = f"{time.time_ns()}-{uuid.uuid4().hex}"
+        made = f"{self.root}/compacting-{name}"
+        kept.write.parquet(made)
+        fs.rename(self._fs(made)[1], self._fs(f"{self.tags_path}/{name}")[1])
+        for path in old:
+            self._delete(path)
 
     # Objects
 
@@ -183,17 +201,27 @@ class Store:
         return found
 
     def write_object(self, object_id: str, value) -> str:
-        """Write a table or a plain value; returns its kind."""
+        """Write a table, a raster, features or a plain value; returns its kind."""
         path = self.object_path(object_id)
         if isinstance(value, DataFrame):
             value.write.mode("overwrite").parquet(path)
             return "table"
+        for kind, (made, table, described) in CODECS.items():
+            if isinstance(value, made):
+                getattr(value, table).write.mode("overwrite").parquet(f"{path}/table")
+                rows = [(bytearray(pickle.dumps(getattr(value, described))),)]
+                self.spark.createDataFrame(rows, VALUE).coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
+                return kind
         rows = [(bytearray(pickle.dumps(value)),)]
         self.spark.createDataFrame(rows, VALUE).coalesce(1).write.mode("overwrite").parquet(path)
         return "value"
 
     def read_object(self, object_id: str, kind: str):
-        df = self.spark.read.parquet(self.object_path(object_id))
+        path = self.object_path(object_id)
+        if kind in CODECS:
+            about = pickle.loads(bytes(self.spark.read.schema(VALUE).parquet(f"{path}/about").first()[0]))
+            return CODECS[kind][0](self.spark.read.parquet(f"{path}/table"), about)
+        df = self.spark.read.parquet(path)
         return df if kind == "table" else pickle.loads(bytes(df.first()[0]))
 
     def save(self, cache_id: str, value, tags: Iterable[tuple[str, str]] = (), object_id: str | None = None, kind: str | None = None) -> None:

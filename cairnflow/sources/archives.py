@@ -65,10 +65,21 @@ def members(path: str) -> list[str]:
     if kind == "gz":
         return [os.path.basename(path)[: -len(".gz")]]
     if kind in SYSTEM:
-        return [line for line in subprocess.run([_tool(kind), "-slt", "l", path], capture_output=True, text=True, check=True).stdout.splitlines() if line.startswith("Path = ")]
+        return listed(subprocess.run([_tool(kind), "-slt", "l", path], capture_output=True, text=True, check=True).stdout)
     raise ValueError(f"{path} is not a known kind of archive")
 
 
+def listed(text: str) -> list[str]:
+    """Names of files in the technical listing of a 7z program: blocks of ``Name = value`` below a line of dashes."""
+    _, _, blocks = text.partition("\n----------\n")
+    found = []
+    for block in blocks.split("\n\n"):
+        told = dict(line.split(" = ", 1) for line in block.splitlines() if " = " in line)
+        if "Path" in told and told.get("Folder", "-") != "+" and not told.get("Attributes", "").startswith("D"):
+            found.append(told["Path"].replace("\\", "/"))
+    return found
+
+
 def _tool(kind: str) -> str:
     for name in ("7z", "7za", "7zr") + (("unrar",) if kind == "rar" else ()):
         if found := shutil.which(name):

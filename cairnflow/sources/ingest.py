@@ -186,6 +186,10 @@ def _verify(folder: str, name: str, source: Source, quick: bool) -> None:
         raise ValueError(f"{name} differs from the manifest; purge its row if the new file is right")
 
 
+def _load(spark, reader: Callable, path: str, options: dict):
+    return reader(spark, path, **options)
+
+
 def ingest(spark, source: Source, folder: str, reader: Callable | None | bool = None, to=None, store=None, options: dict | None = None, conform_settings: dict | None = None, **settings):
     """Acquire, load, and conform where a target is given.
 
@@ -200,7 +204,7 @@ def ingest(spark, source: Source, folder: str, reader: Callable | None | bool =
         from cairnflow.plans.memo import memo
 
         checksums = {os.path.basename(f): digest.file_hash(f) for f in got.files if os.path.isfile(f)}
-        loaded = memo(lambda: call(spark, got.target, **(options or {})), store=store, function_name="ingest", extra=checksums).value
+        loaded = memo(_load, spark, call, got.target, options or {}, store=store, omit=("spark", "path"), function_name="ingest", extra=checksums).value
     else:
         loaded = call(spark, got.target, **(options or {}))
     if to is not None or conform_settings:

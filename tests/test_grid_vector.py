@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cairnflow.functions import projections as pr
 from cairnflow.operators import grid as g
@@ -144,13 +145,45 @@ def test_domains(spark, tmp_path):
     assert not new and rows.count() == 1 and len(made) == 2
 
 
-def test_a_mask_of_too_many_vertices_is_an_error(spark, monkeypatch):
-    from cairnflow.operators import conform as c
-
-    square = lambda a, b: Features(v.features(spark, [(0, v.polygon([(a, a), (b, a), (b, b), (a, b)]))]), pr.LonLat())
-    monkeypatch.setattr(c, "MASK_VERTICES", 10, raising=False)
-    box = v.extent(c.mask_to(square(0, 4), square(2, 6)).rows)
-    assert (box.xmin, box.xmax, box.ymin, box.ymax) == (2, 4, 2, 4)
-    monkeypatch.setattr(c, "MASK_VERTICES", 3)
-    with pytest.raises(ValueError, match="vertices"):
-        c.mask_to(square(0, 4), square(2, 6))
+def ring_of(n, r=5.0, cx=0.0, cy=0.0, dent=0.0):
+    return [(cx + (r - dent * (k % 2)) * math.cos(2 * math.pi * k / n), cy + (r - dent * (k % 2)) * math.sin(2 * math.pi * k / n)) for k in range(n)]
+
+
+def test_features_cut_by_any_mask(spark):
+    """Stars, holes, several parts and features, against sampled points."""
+    import random
+
+    import numpy as np
+
+    def odd(x, y, rings):
+        n = 0
+        for ring in rings:
+            for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]):
+                n += (y1 > y) != (y2 > y) and x < x1 + (y - y1) * (x2 - x1) / (y2 - y1)
+        return n % 2 == 1
+
+    rng = random.Random(3)
+    subjects = {k: [ring_of(rng.randrange(3, 9), 3, rng.uniform(-5, 5), rng.uniform(-5, 5))] for k in range(12)}
+    masks = {0: [ring_of(14, 6, -1, 0, 3.5), ring_of(6, 1.5, -1, 0)], 1: [ring_of(10, 4, 9, 9, 2)], 2: [[(-9, -9), (-5, -9), (-9, -5), (-5, -5)]]}
+    df = v.features(spark, [(k, v.polygon(*r)) for k, r in subjects.items()])
+    cut = v.intersect(df, v.features(spark, [(k, v.polygon(*r)) for k, r in masks.items()]))
+    assert cut.columns == df.columns
+    got = {}
+    for r in cut.select("fid", v.area(F.col("geom")).alias("a")).collect():
+        got[r.fid] = got.get(r.fid, 0) + r.a
+    points = [(rng.uniform(-9, 9), rng.uniform(-9, 9)) for _ in range(40_000)]
+    for k, rings in subjects.items():
+        share = np.mean([odd(x, y, rings) and sum(odd(x, y, m) for m in masks.values()) for x, y in points])
+        assert abs(share * 18 * 18 - got.get(k, 0.0)) < 0.7
+    assert v.intersect(df.limit(0), df).count() == 0 and v.intersect(df, df.limit(0)).count() == 0
+    many = v.features(spark, [(0, v.polygon(ring_of(3000)))])
+    whole = v.intersect(v.features(spark, [(7, v.polygon([(-9, -9), (9, -9), (9, 9), (-9, 9)]))]), many).select(v.area(F.col("geom"))).first()[0]
+    assert abs(whole - 25 * math.pi) < 0.01
+
+
+def test_old_names_of_targets():
+    full = with_old_names(study_area="sa", raster_to_match="rtm")
+    assert full == {"crop": "rtm", "project": "rtm", "to": "rtm", "mask": "sa"}
+    assert with_old_names(study_area="sa", raster_to_match="rtm", use_sa_crs=True, mask_with_rtm=True) == {"crop": "rtm", "project": "sa", "to": "rtm", "mask": "rtm"}
+    assert with_old_names(study_area="sa", use_sa_crs=False) == {"crop": "sa", "mask": "sa", "project": SKIP}
+    assert with_old_names(study_area="sa", crop="new", method="near") == {"crop": "new", "mask": "sa", "method": "near"}

@@ -42,6 +42,8 @@ def test_purge_similar_base_name(spark):
     all_ = rows(spark, ("p/t.shp", "1", "1"), ("p/t.dbf", "2", "1"), ("a.zip", "3", "1"))
     assert m.purge(all_, 1).count() == 0 and m.purge(all_, 0).count() == 3
     assert [r.file for r in m.purge(all_, 6, target=["p/t.shp"], archive=["a.zip"]).collect()] == ["p/t.dbf"]
+    assert m.purge(all_, 6, target=["p/t.shp"], archive=["a.zip"], also=["p/t.dbf"]).count() == 0
+    assert [r.file for r in m.purge(all_, 7, target=["p/t.shp"], url=["a.zip"]).collect()] == ["p/t.dbf"]
     assert m.similar(all_, "x/t.shp").count() == 2
     moved = m.by_base_name(all_, rows(spark, ("q/t.dbf", "2", "1"), ("new", "1", "1")))
     assert {r.file for r in moved.collect()} == {"p/t.dbf", "new"}

@@ -192,3 +192,23 @@ def test_the_log_can_be_followed(spark, store, tmp_path):
     stream = follow_log(spark, store.root).writeStream.format("memory").queryName("followed").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     stream.awaitTermination(60)
     assert spark.sql("select * from followed where tagKey = 'k' and tagValue = 'v'").count() == 1
+
+
+def test_compaction_keeps_what_counts(spark, tmp_path):
+    from cairnflow.plans.store import Store
+
+    store = Store(spark, f"file://{tmp_path}/store").create()
+    for k in range(3):
+        store.save(f"e{k}", k, [("tag", f"t{k}"), ("tag", "all")])
+    store.update_tag("e0", "accessed", "x")
+    store.update_tag("e0", "accessed", "y")
+    store.remove(["e1"])
+    before = sorted((r.cacheId, r.tagKey, r.tagValue) for r in store.tags().collect())
+    store.compact()
+    store.add_tag("e2", "tag", "later")
+    after = sorted((r.cacheId, r.tagKey, r.tagValue) for r in store.tags().collect())
+    assert after == sorted([*before, ("e2", "tag", "later")]) and store.load("e2") == 2
+    folders = [p for p in (tmp_path / "store" / "tags").iterdir() if p.is_dir()]
+    assert len(folders) == 2 and not list((tmp_path / "store").glob("compacting-*"))
+    store.compact()
+    assert sorted((r.cacheId, r.tagKey, r.tagValue) for r in store.tags().collect()) == after

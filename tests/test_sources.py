@@ -151,3 +151,33 @@ def test_scalars(spark, tmp_path, monkeypatch):
     assert os.path.isdir(sc.checked_path(str(tmp_path / "yes"), create=True))
     monkeypatch.setenv("CAIRNFLOW_QUICK", "true")
     assert options().quick and options(quick=False).quick is False
+
+
+def test_ingested_grids_and_features_are_stored(spark, tmp_path):
+    from cairnflow.functions import projections as pr
+    from cairnflow.operators import grid as g
+    from cairnflow.operators import vector as v
+    from cairnflow.operators.conform import Features, Raster
+    from cairnflow.plans.memo import memo
+    from cairnflow.plans.store import Store
+    from cairnflow.sources.ingest import Source, ingest
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "h.asc").write_text("ncols 3\nnrows 2\nxllcorner 0\nyllcorner 0\ncellsize 1\nNODATA_value -9\n1 2 3\n4 -9 6\n")
+    store = Store(spark, f"file://{tmp_path}/store")
+    for _ in range(2):
+        got = ingest(spark, Source(url=f"file://{tmp_path}/in/h.asc", target="h.asc"), str(tmp_path / "out"), store=store)
+        assert isinstance(got, Raster) and got.grid.ncol == 3 and got.grid.extent == g.Extent(0, 3, 0, 2)
+        assert sorted((r.row, r.col, r.value) for r in got.cells.collect() if r.value is not None) == [(0, 0, 1.0), (0, 1, 2.0), (0, 2, 3.0), (1, 0, 4.0), (1, 2, 6.0)]
+    assert len(store.ids()) == 1 and not memo(lambda: None, store=store, cache_id=store.ids()[0]).is_new
+    made = Features(v.features(spark, [(4, v.polygon([(0, 0), (1, 0), (1, 1)]))]), pr.WebMercator())
+    store.save("f", made)
+    back = store.load("f")
+    assert isinstance(back, Features) and back.projection == pr.WebMercator() and back.rows.collect() == made.rows.collect()
+
+
+def test_listing_of_7z():
+    from cairnflow.sources.archives import listed
+
+    text = "\n7-Zip\n\n--\nPath = a.7z\nType = 7z\n\n----------\nPath = d\nFolder = +\nAttributes = D_\n\nPath = d/b.shp\nSize = 3\nFolder = -\n\nPath = c.txt\nSize = 1\nAttributes = A_\n\n"
+    assert listed(text) == ["d/b.shp", "c.txt"]
