@@ -142,14 +142,15 @@ def resample_bilinear(cells: DataFrame, grid: Grid, target: Grid) -> DataFrame:
     return joined.groupBy("layer", "row", "col").agg(whole.alias("value"))
 
 
-#: Data types in the order in which they are tried: name, smallest and largest value, whether whole numbers only.
+#: Data types of whole numbers, then of others, in the order in which they are tried (unsigned ones before
+#: signed ones), with the smallest and the largest value of each.
 INTEGER_TYPES = (
-    ("INT1S", -127, 127),
     ("INT1U", 0, 255),
-    ("INT2S", -32767, 32767),
     ("INT2U", 0, 65534),
-    ("INT4S", -2147483647, 2147483647),
     ("INT4U", 0, 4294967296),
+    ("INT1S", -127, 127),
+    ("INT2S", -32767, 32767),
+    ("INT4S", -2147483647, 2147483647),
 )
 FLOAT_TYPES = (("FLT4S", -3.4e38, 3.4e38),)
 #: For each: the name in the gdal tools, and how values are resampled.
@@ -173,9 +174,7 @@ def resampling_method(datatype: str) -> str:
 def datatype_of(low: Column, high: Column, whole: Column, binary: Column) -> Column:
     """The smallest data type that holds values from ``low`` to ``high``: unsigned where nothing is negative."""
     chosen = F.when(low.isNull() | binary, "LOG1S")
-    for name, a, b in (INTEGER_TYPES[1], INTEGER_TYPES[3], INTEGER_TYPES[5]):
-        chosen = chosen.when(whole & (low >= 0) & (high <= b), name)
-    for name, a, b in (INTEGER_TYPES[0], INTEGER_TYPES[2], INTEGER_TYPES[4]):
+    for name, a, b in INTEGER_TYPES:
         chosen = chosen.when(whole & (low >= a) & (high <= b), name)
     for name, a, b in FLOAT_TYPES:
         chosen = chosen.when((low >= a) & (high <= b), name)

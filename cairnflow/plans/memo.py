@@ -164,7 +164,7 @@ def memo(
     if digest_only:
         return Result(None, key, False, hashes)
 
-    with _lock(first, key):
+    with _lock(first, key), first.locked(key):
         entry = where = None
         for s in stores:
             if (entry := s.find(key)) is not None:

@@ -13,7 +13,9 @@ import pickle
 import time
 import uuid
 from collections.abc import Iterable
+from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,7 +75,7 @@ class Store:
         return self
 
     def drop(self) -> None:
-        for part in ("tags", "objects"):
+        for part in ("tags", "objects", "locks"):
             self._delete(f"{self.root}/{part}")
         self.memory.clear()
 
@@ -86,6 +88,45 @@ class Store:
         self.root = new_root.rstrip("/")
         return self
 
+    @contextmanager
+    def locked(self, key: str, stale: float = 3600.0):
+        """One holder for each key, whatever the process or machine: a file that is made only if it isn't there.
+
+        A lock older than ``stale`` seconds, which a process has left that died, is taken over.
+        """
+        path = f"{self.root}/locks/{key}"
+        fs, place = self._fs(path)
+        fs.mkdirs(place.getParent())
+        wait = 0.02
+        while not self._made(fs, place):
+            time.sleep(wait)
+            wait = min(1.0, wait * 1.5)
+            try:
+                if time.time() - fs.getFileStatus(place).getModificationTime() / 1000 > stale:
+                    fs.delete(place, False)
+            except Py4JJavaError:  # it has gone meanwhile
+                pass
+        try:
+            yield
+        finally:
+            fs.delete(place, False)
+
+    @staticmethod
+    def _made(fs, place) -> bool:
+        if fs.getScheme() == "file":  # Hadoop's local file system looks first and creates then
+            try:
+                os.close(os.open(place.toUri().getPath(), os.O_CREAT | os.O_EXCL))
+            except FileExistsError:
+                return False
+            return True
+        try:
+            fs.create(place, False).close()
+        except Py4JJavaError as error:
+            if not fs.exists(place) and "Exists" not in str(error.java_exception):
+                raise
+            return False
+        return True
+
     # Tags
 
     def _append(self, rows: list[tuple], op: str = "add") -> None:

@@ -212,3 +212,34 @@ def test_compaction_keeps_what_counts(spark, tmp_path):
     assert len(folders) == 2 and not list((tmp_path / "store").glob("compacting-*"))
     store.compact()
     assert sorted((r.cacheId, r.tagKey, r.tagValue) for r in store.tags().collect()) == after
+
+
+def test_one_holder_of_a_key(spark, tmp_path):
+    """Stores of their own, as in other processes, wait for each other; a lock left behind is taken over."""
+    import threading
+    import time
+
+    from cairnflow.plans.store import Store
+
+    inside, most = [], []
+
+    def work(k):
+        store = Store(spark, f"file://{tmp_path}/store")
+        with store.locked("key"):
+            inside.append(k)
+            most.append(len(inside))
+            time.sleep(0.05)
+            inside.remove(k)
+
+    threads = [threading.Thread(target=work, args=(k,)) for k in range(6)]
+    for x in threads:
+        x.start()
+    for x in threads:
+        x.join(30)
+    assert most == [1] * 6
+    left = tmp_path / "store" / "locks" / "old"
+    left.write_text("")
+    began = time.time()
+    with Store(spark, f"file://{tmp_path}/store").locked("old", stale=0.5):
+        assert time.time() - began > 0.2
+    assert not left.exists()
