@@ -157,8 +157,8 @@ def truncated(tree: Mapping, depth: int = 3) -> dict[str, str]:
     return found
 
 
-def file_hash(path: str, algorithm: str = "sha256", quick: bool = False) -> str:
-    """Of a local file's content, in pieces; ``quick`` takes the size for it."""
+def file_hash(path: str, algorithm: str = "sha256", quick: bool = False, length: int | None = None) -> str:
+    """Of a local file's content, in pieces, or of its first ``length`` bytes; ``quick`` takes the size for it."""
     if quick:
         return str(os.path.getsize(path))
     if algorithm == "xxhash64":
@@ -167,9 +167,11 @@ def file_hash(path: str, algorithm: str = "sha256", quick: bool = False) -> str:
         state = xxhash.xxh64()
     else:
         state = hashlib.new(algorithm)
+    left = os.path.getsize(path) if length is None else length
     with open(path, "rb") as file:
-        while piece := file.read(1 << 20):
+        while left > 0 and (piece := file.read(min(left, 1 << 20))):
             state.update(piece)
+            left -= len(piece)
     return state.hexdigest()
 
 

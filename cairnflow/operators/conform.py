@@ -100,8 +100,16 @@ def fix_errors(data: Data) -> Data:
     return Features(v.repaired(data.rows), data.projection) if isinstance(data, Features) else data
 
 
-def conform(data: Data, to: Data | None = None, crop=None, project=None, mask=None, write=None, overwrite: bool = False, method: str | None = None, touches: bool = False) -> Data:
-    """Padded crop, projection, mask, crop, write; each to its own target or ``to``, or not at all with ``SKIP``."""
+def conform(data: Data, to: Data | None = None, crop=None, project=None, mask=None, write=None, overwrite: bool = False, method: str | None = None, touches: bool = False, **older) -> Data:
+    """Padded crop, projection, mask, crop, write; each to its own target or ``to``, or not at all with ``SKIP``.
+
+    Older names of arguments (``OLD_NAMES``) are taken too; other names are an error.
+    """
+    if older:
+        if unknown := sorted(set(older) - {*OLD_NAMES, "use_sa_crs", "mask_with_rtm", "filename2"}):
+            raise TypeError(f"conform has no argument {', '.join(unknown)}")
+        new = {k: x for k, x in {"to": to, "crop": crop, "project": project, "mask": mask, "write": write}.items() if x is not None}
+        return conform(data, overwrite=overwrite, method=method, touches=touches, **with_old_names(**older, **new))
     crop, project, mask = (to if x is None else None if x is SKIP else x for x in (crop, project, mask))
     kind = type(data)
     if crop is not None and not (kind is Features and crop is project):

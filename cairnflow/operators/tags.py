@@ -152,8 +152,8 @@ def merge_report(into: DataFrame, other: DataFrame) -> DataFrame:
 
 def shared_counts(tags: DataFrame, wanted: DataFrame) -> DataFrame:
     """(cacheId, n_shared): how many of the ``wanted`` tags (tagKey, tagValue) each entry has."""
-    pairs = tags.select("cacheId", "tagKey", "tagValue").distinct()
-    return pairs.join(wanted.select("tagKey", "tagValue").distinct(), ["tagKey", "tagValue"], "left_semi").groupBy("cacheId").agg(F.count("*").alias("n_shared"))
+    named = tags.join(wanted.select("tagKey", "tagValue").distinct(), ["tagKey", "tagValue"], "left_semi")  # before anything is shuffled
+    return named.select("cacheId", "tagKey", "tagValue").distinct().groupBy("cacheId").agg(F.count("*").alias("n_shared"))
 
 
 def most_similar(tags: DataFrame, wanted: DataFrame) -> DataFrame:

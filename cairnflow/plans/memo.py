@@ -11,18 +11,21 @@ import contextvars
 import datetime as dt
 import functools
 import inspect
+import os
 import threading
 import time
 from collections.abc import Callable, Iterable, Mapping
 from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, field
+from pathlib import PurePath
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnflow.functions import digest
 from cairnflow.operators import tags as tag_ops
+from cairnflow.options import options
 from cairnflow.plans.store import CODECS, Store
 
 _NESTED: contextvars.ContextVar[tuple] = contextvars.ContextVar("nested", default=())
@@ -41,6 +44,7 @@ class Result:
     is_new: bool
     key: dict[str, str] = field(default_factory=dict)
     similar: list[dict] = field(default_factory=list)
+    arguments: dict[str, Any] | None = None
 
 
 @functools.singledispatch
@@ -72,11 +76,12 @@ def bound_arguments(fn: Callable, args: tuple, kwargs: Mapping, omit: Iterable[s
     return {k: x for k, x in named.items() if k not in gone}
 
 
-def call_key(fn: Callable, args: tuple = (), kwargs: Mapping | None = None, *, omit: Iterable[str] = (), only: Mapping[str, Iterable[str]] | None = None, extra: Any = None, quick: Iterable[str] | bool = (), algorithm: str = "sha256") -> tuple[str, dict[str, str]]:
+def call_key(fn: Callable, args: tuple = (), kwargs: Mapping | None = None, *, omit: Iterable[str] = (), only: Mapping[str, Iterable[str]] | None = None, extra: Any = None, quick: Iterable[str] | bool = (), algorithm: str = "sha256", length: int | None = None, class_options: Mapping[type, Callable] | None = None) -> tuple[str, dict[str, str]]:
     """(key, hash by argument name).
 
     ``only``: for an argument that is a mapping, the members that count. ``quick``: arguments (or all) that are paths,
-    told by name and size rather than content.
+    told by name and size rather than content. ``length``: so many bytes of each file that is an argument count.
+    ``class_options``: for a class, a function that gives what counts of its values.
     """
     named = bound_arguments(fn, args, kwargs or {}, omit)
     for name, members in (only or {}).items():
@@ -85,7 +90,12 @@ def call_key(fn: Callable, args: tuple = (), kwargs: Mapping | None = None, *, o
             named[name] = {k: x for k, x in named[name].items() if k in chosen}
     hashes = {"function": digest.value_hash(fn, algorithm)}
     for name, x in named.items():
+        of_class = next((make for kind, make in (class_options or {}).items() if isinstance(x, kind)), None)
+        x = x if of_class is None else of_class(x)
         fast = quick is True or (quick is not False and name in set(quick))
+        if length is not None and not fast and isinstance(x, PurePath) and os.path.isfile(x):
+            hashes[name] = digest.file_hash(str(x), algorithm, length=length)
+            continue
         hashes[name] = digest.text_hash(f"{digest.file_hash(str(x), quick=True)} {getattr(x, 'name', x)}", algorithm) if fast and hasattr(x, "name") and hasattr(x, "is_file") and x.is_file() else digest.value_hash(x, algorithm)
     if extra is not None:
         hashes["extra"] = digest.value_hash(extra, algorithm)
@@ -97,6 +107,14 @@ def _lock(store: Store, key: str) -> threading.Lock:
         return _LOCKS.setdefault((store.root, key), threading.Lock())
 
 
+def _use_cache(text: str) -> bool | int | str:
+    """The option's text as ``use_cache`` takes it."""
+    plain = text.strip().lower()
+    if plain in ("true", "false"):
+        return plain == "true"
+    return int(plain) if plain.isdigit() else text.strip()
+
+
 def similar_calls(store: Store, hashes: Mapping[str, str], function_name: str, n: int = 1) -> list[dict]:
     """The stored calls of the function that share most argument hashes, and which arguments differ."""
     tags = store.tags()
@@ -114,23 +132,27 @@ def similar_calls(store: Store, hashes: Mapping[str, str], function_name: str, n
 def memo(
     fn: Callable,
     *args,
-    store: Store | list[Store],
+    store: Store | list[Store] | None = None,
     user_tags: Iterable[str] = (),
     omit: Iterable[str] = (),
     only: Mapping[str, Iterable[str]] | None = None,
     extra: Any = None,
     function_name: str | None = None,
-    use_cache: bool | int | str = True,
+    use_cache: bool | int | str | None = None,
     cache_id: str | None = None,
     not_older_than: dt.datetime | None = None,
-    show_similar: bool = False,
-    quick: Iterable[str] | bool = (),
+    show_similar: bool | None = None,
+    quick: Iterable[str] | bool | None = None,
     mirror: Store | None = None,
-    in_memory: bool = False,
+    in_memory: bool | None = None,
     output_columns: Iterable[str] | None = None,
     wait: bool = True,
     digest_only: bool = False,
     link_result: bool = True,
+    algorithm: str | None = None,
+    length: int | None = None,
+    class_options: Mapping[type, Callable] | None = None,
+    debug: str | None = None,
     **kwargs,
 ) -> Result:
     """The value of ``fn(*args, **kwargs)``, from a store or newly made.
@@ -138,8 +160,26 @@ def memo(
     ``store``: several are searched in order and the first is written to. ``use_cache``: False runs the function;
     a number is the deepest nesting that still uses the store; "overwrite" makes the entry anew; "devMode" replaces the
     one entry that carries all user tags. ``cache_id``: the key to use, or "previous" for the function's last entry.
-    ``mirror``: a second store that misses are looked up in and new entries are copied to.
+    ``mirror``: a second store that misses are looked up in and new entries are copied to. ``debug``: "complete" adds
+    the arguments as they were to the result, "quick" does so and neither looks anything up nor runs the function.
+
+    What is not given (store, use_cache, show_similar, quick, mirror, in_memory, algorithm) is as the options say.
     """
+    if debug not in (None, "complete", "quick"):
+        raise ValueError("debug is complete or quick")
+    session = store.spark if isinstance(store, Store) else store[0].spark if store else SparkSession.getActiveSession()
+    settings = options(session)
+    if store is None:
+        if not settings.store_path:
+            raise ValueError("give a store, or name one by the option store_path")
+        store = Store(session, settings.store_path)
+    use_cache = _use_cache(settings.use_cache) if use_cache is None else use_cache
+    show_similar = settings.show_similar if show_similar is None else show_similar
+    quick = settings.quick if quick is None else quick
+    in_memory = settings.memory_layer if in_memory is None else in_memory
+    if mirror is None and settings.use_mirror and settings.mirror_path:
+        mirror = Store(session, settings.mirror_path)
+    arguments = bound_arguments(fn, args, kwargs) if debug else None
     stores = store if isinstance(store, list) else [store]
     for s in stores:
         s.create()
@@ -151,18 +191,18 @@ def memo(
     own_tags = tag_ops.parse(user_tags)
     all_tags = [*inherited, *own_tags]
     if use_cache is False or (not isinstance(use_cache, (bool, str)) and depth >= int(use_cache)):
-        return Result(fn(*args, **kwargs), "", True)
+        return Result(fn(*args, **kwargs), "", True, arguments=arguments)
 
     began = time.perf_counter()
-    key, hashes = call_key(fn, args, kwargs, omit=omit, only=only, extra=extra, quick=quick)
+    key, hashes = call_key(fn, args, kwargs, omit=omit, only=only, extra=extra, quick=quick, algorithm=algorithm or settings.algorithm, length=length, class_options=class_options)
     digest_time = time.perf_counter() - began
     if cache_id == "previous":
         last = [r.cacheId for r in tag_ops.nth_latest(tag_ops.matching_ids(first.tags(), function=[name]), first.tags(), 1).collect()]
         key = last[0] if last else key
     elif cache_id:
         key = cache_id
-    if digest_only:
-        return Result(None, key, False, hashes)
+    if digest_only or debug == "quick":
+        return Result(None, key, False, hashes, arguments=arguments)
 
     with _lock(first, key), first.locked(key):
         entry = where = None
@@ -194,7 +234,7 @@ def memo(
                 where.add_tag(key, "accessed", dt.datetime.now().isoformat(sep=" "))
                 if in_memory:
                     where.memory[key] = value.persist() if isinstance(value, DataFrame) and key not in where.memory else value
-                return Result(None if entry.get("isNone") else value, key, False, hashes)
+                return Result(None if entry.get("isNone") else value, key, False, hashes, arguments=arguments)
             except Exception:
                 where.remove([key])  # what can't be read is made anew
 
@@ -241,12 +281,12 @@ def memo(
 
         if not wait and not isinstance(value, DataFrame):
             _PENDING.append(_POOL.submit(save))
-            return Result(value, key, True, hashes, near)
+            return Result(value, key, True, hashes, near, arguments)
         save()
         kept = first.load(key)
         if in_memory:
             first.memory[key] = kept.persist() if isinstance(kept, DataFrame) else kept
-        return Result(None if value is None else kept, key, True, hashes, near)
+        return Result(None if value is None else kept, key, True, hashes, near, arguments)
 
 
 def _link(store: Store, key: str, hashed: str) -> None:

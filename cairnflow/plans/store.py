@@ -321,3 +321,27 @@ def to_jdbc(tags: DataFrame, url: str, table: str, **properties: str) -> None:
 
 def from_jdbc(spark: SparkSession, url: str, table: str, **properties: str) -> DataFrame:
     return spark.read.jdbc(url, table, properties=properties).select("cacheId", "tagKey", "tagValue", F.col("createdDate").cast("timestamp").alias("createdDate"))
+
+
+def to_folders(tags: DataFrame, path: str) -> None:
+    """The tag table with a folder for each entry: the other form that a store's tags can have."""
+    tags.repartition("cacheId").write.partitionBy("cacheId").mode("overwrite").parquet(path)
+
+
+def from_folders(spark: SparkSession, path: str) -> DataFrame:
+    """What ``to_folders`` wrote; the entry's folder prunes a search for its id."""
+    return spark.read.schema(tag_ops.SCHEMA).parquet(path).select(*tag_ops.SCHEMA.fieldNames())
+
+
+def adopt(store: Store, tags: DataFrame) -> int:
+    """Take entries of another form (folders, a database) into a store's log, those that it has left out; returns how many.
+
+    The rows go from table to table, nothing is collected but their count. Objects are taken as they stand.
+    """
+    store.create()
+    new = tags.join(store.tags().select("cacheId").distinct(), "cacheId", "left_anti")
+    seq = time.time_ns()
+    place = f"{store.tags_path}/{seq}-{uuid.uuid4().hex}"
+    rows = new.select("cacheId", "tagKey", "tagValue", "createdDate", (F.lit(seq) + F.monotonically_increasing_id() % F.lit(1 << 32)).alias("seq"), F.lit("add").alias("op"))
+    rows.write.parquet(place)
+    return store.spark.read.schema(LOG).parquet(place).select("cacheId").distinct().count()

@@ -243,3 +243,63 @@ def test_one_holder_of_a_key(spark, tmp_path):
     with Store(spark, f"file://{tmp_path}/store").locked("old", stale=0.5):
         assert time.time() - began > 0.2
     assert not left.exists()
+
+
+def test_algorithm_length_class_options_debug(store, tmp_path):
+    file = tmp_path / "data.txt"
+    file.write_bytes(b"same start" + b"1" * 10)
+
+    def size(path, model=None):
+        return path.stat().st_size
+
+    plain = memo(size, file, store=store, digest_only=True)
+    assert len(memo(size, file, store=store, digest_only=True, algorithm="xxhash64").cache_id) == 16
+    assert memo(size, file, store=store, length=10).is_new
+    file.write_bytes(b"same start" + b"2" * 10)
+    assert not memo(size, file, store=store, length=10).is_new
+    assert memo(size, file, store=store, digest_only=True).cache_id != plain.cache_id
+
+    class Model:
+        def __init__(self, weights, log):
+            self.weights, self.log = weights, log
+
+    counted = {Model: lambda m: m.weights}
+    assert memo(size, file, Model([1], "a"), store=store, class_options=counted).is_new
+    assert not memo(size, file, Model([1], "b"), store=store, class_options=counted).is_new
+    assert memo(size, file, Model([2], "b"), store=store, class_options=counted).is_new
+
+    looked = memo(add, 41, store=store, debug="quick")
+    assert looked.value is None and looked.arguments == {"a": 41, "b": 2} and not store.find(looked.cache_id)
+    assert memo(add, 41, store=store, debug="complete").arguments == {"a": 41, "b": 2}
+    with pytest.raises(ValueError):
+        memo(add, 41, store=store, debug="all")
+
+
+def test_options_are_read(spark, store, tmp_path, monkeypatch):
+    monkeypatch.setenv("CAIRNFLOW_STORE_PATH", str(tmp_path / "named"))
+    assert memo(add, 7).is_new and not memo(add, 7).is_new
+    monkeypatch.setenv("CAIRNFLOW_USE_CACHE", "false")
+    assert memo(add, 7).is_new and not memo(add, 7, use_cache=True).is_new
+    monkeypatch.setenv("CAIRNFLOW_USE_CACHE", "overwrite")
+    assert memo(add, 7).is_new
+    monkeypatch.delenv("CAIRNFLOW_STORE_PATH")
+    with pytest.raises(ValueError):
+        memo(add, 7)
+
+
+def test_tags_change_their_form(spark, store, tmp_path):
+    from cairnflow.plans.store import adopt, from_folders, to_folders
+
+    memo(add, 1, store=store, user_tags=["k:1"])
+    memo(add, 2, store=store, user_tags=["k:2"])
+    rows = lambda df: sorted(map(tuple, df.select("cacheId", "tagKey", "tagValue", "createdDate").collect()), key=str)
+    before = rows(store.tags())
+    to_folders(store.tags(), str(tmp_path / "folders"))
+    assert len(list((tmp_path / "folders").glob("cacheId=*"))) == 2
+    kept = from_folders(spark, str(tmp_path / "folders"))
+    assert rows(kept) == before
+    for log in (tmp_path / "store" / "tags").iterdir():
+        store._delete(str(log))
+    assert store.ids() == [] and adopt(store, kept) == 2 and adopt(store, kept) == 0
+    assert rows(store.tags()) == before
+    assert not memo(add, 2, store=store).is_new
