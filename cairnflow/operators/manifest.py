@@ -77,6 +77,16 @@ def upsert(manifest: DataFrame, new: DataFrame) -> DataFrame:
     return rest.unionByName(new, allowMissingColumns=True)
 
 
+def with_saved(measured: DataFrame, saved: DataFrame, columns: Iterable[str] = COLUMNS) -> DataFrame:
+    """``measured`` with the columns that only ``saved`` has, joined on all of ``columns`` (nulls are equal): what a manifest
+    that is written anew keeps of the one before. Rows that are unchanged and repeated in ``saved`` count once."""
+    columns = list(columns)
+    more = [c for c in saved.columns if c not in measured.columns]
+    old = saved.select(*(F.col(c).alias(f"__{c}") for c in columns), *more).distinct()
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in columns]
+    return measured.join(old, same, "left").select(*measured.columns, *more)
+
+
 def last_by_file(rows: DataFrame, sequence: str, first: bool = False) -> DataFrame:
     """One row for each file: the last (or first) by an explicit sequence."""
     order = F.col(sequence).asc() if first else F.col(sequence).desc()

@@ -187,3 +187,16 @@ def test_old_names_of_targets():
     assert with_old_names(study_area="sa", raster_to_match="rtm", use_sa_crs=True, mask_with_rtm=True) == {"crop": "rtm", "project": "sa", "to": "rtm", "mask": "rtm"}
     assert with_old_names(study_area="sa", use_sa_crs=False) == {"crop": "sa", "mask": "sa", "project": SKIP}
     assert with_old_names(study_area="sa", crop="new", method="near") == {"crop": "new", "mask": "sa", "method": "near"}
+
+
+def test_conform_takes_older_names(spark):
+    from cairnflow.functions.projections import LonLat
+
+    data = Raster(cells(spark, [float(k) for k in range(16)], 4), g.Grid(4, 4, g.Extent(0, 4, 0, 4), LonLat()))
+    area = Features(v.features(spark, [(0, v.polygon([(0, 0), (2, 0), (2, 2), (0, 2)]))]), LonLat())
+    values = lambda made: sorted(r.value for r in made.cells.where("value is not null").collect())
+    assert values(conform(data, study_area=area)) == values(conform(data, crop=area, mask=area)) == [8.0, 9.0, 12.0, 13.0]
+    with pytest.raises(TypeError, match="studyarea"):
+        conform(data, studyarea=area)
+    with pytest.raises(ValueError):
+        conform(data, filename2="x")

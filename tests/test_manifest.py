@@ -65,3 +65,14 @@ def test_old_manifest_and_empty(spark, tmp_path):
     (tmp_path / "old.txt").write_text('"file" "checksum"\n"a" "1"\n')
     assert m.read(spark, str(tmp_path / "old.txt")).first().asDict() == {"file": "a", "checksum": "1", "filesize": None, "algorithm": None}
     assert m.compare(m.empty(spark), m.empty(spark)).count() == 0
+
+
+def test_saved_columns_come_along(spark):
+    from cairnflow.operators import manifest as m
+
+    measured = spark.createDataFrame([("a", "1", None, "x"), ("b", "2", "9", "x"), ("c", "3", "9", "x")], m.SCHEMA)
+    saved = spark.createDataFrame([("a", "1", None, "x", "kept"), ("a", "1", None, "x", "kept"), ("b", "other", "9", "x", "gone")], "file string, checksum string, filesize string, algorithm string, note string")
+    got = m.with_saved(measured, saved)
+    assert got.columns == [*m.COLUMNS, "note"]
+    assert sorted((r.file, r.note) for r in got.collect()) == [("a", "kept"), ("b", None), ("c", None)]
+    assert m.with_saved(measured, m.empty(spark)).columns == list(m.COLUMNS)
