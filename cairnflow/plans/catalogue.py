@@ -296,6 +296,21 @@ def manifest_missing(spark, d):
     return m.missing(needed, m.compare(*manifests(spark, d)))
 
 
+@query(f"WITH {COMPARED_SQL} SELECT CAST(doc_id AS VARCHAR) AS file FROM documents WHERE CAST(doc_id AS VARCHAR) NOT IN (SELECT expectedFile FROM compared WHERE result = 'OK')")
+def manifest_missing_all(spark, d):
+    """The same for all documents."""
+    needed = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file"))
+    return m.missing(needed, m.compare(*manifests(spark, d)))
+
+
+@query(f"""WITH {MANIFEST_SQL} SELECT m.file, m.checksum, m.filesize, m.algorithm, CASE WHEN e.file IS NOT NULL THEN 'known' END AS note FROM measured m
+LEFT JOIN (SELECT DISTINCT file, checksum, filesize, algorithm FROM expected) e
+ON m.file IS NOT DISTINCT FROM e.file AND m.checksum IS NOT DISTINCT FROM e.checksum AND m.filesize IS NOT DISTINCT FROM e.filesize AND m.algorithm IS NOT DISTINCT FROM e.algorithm""")
+def manifest_saved(spark, d):
+    expected, measured = manifests(spark, d)
+    return m.with_saved(measured.select(*m.COLUMNS), expected.select(*m.COLUMNS, F.lit("known").alias("note")))
+
+
 @query(f"""WITH {COMPARED_SQL} SELECT CAST(doc_id AS VARCHAR) AS file, CAST(doc_id AS VARCHAR) IN (SELECT expectedFile FROM compared WHERE result = 'OK') AS ok FROM documents""")
 def manifest_needed_ok(spark, d):
     needed = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file"))
