@@ -16,7 +16,7 @@ all their pairs, and no link between components is lost.
 
 from __future__ import annotations
 
-from functools import cache, reduce
+from functools import reduce
 from itertools import combinations
 from math import comb
 
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import IdFilter, components, forget, release, written
+from .shared import IdFilter, components, forget, kept, release, tidied, written
 
 WORDS = 5
 SHARE = (4, 5)  #: link where intersection * 5 >= union * 4
@@ -49,11 +49,6 @@ class _Words(dict):
         return value
 
 
-@cache
-def _words() -> _Words:
-    return _Words()
-
-
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -65,7 +60,7 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not found:
         return np.zeros(0, dtype=np.uint64)
-    h = np.fromiter(map(_words().__getitem__, found), dtype=np.uint64, count=len(found))
+    h = np.fromiter(map(kept("words", _Words).__getitem__, found), dtype=np.uint64, count=len(found))
     run = min(words, len(found))
     factors = _FACTORS if words <= len(_FACTORS) else np.random.default_rng(words).integers(1, 2**63, words, dtype=np.uint64) | np.uint64(1)
     n = len(found) - run + 1
@@ -149,7 +144,7 @@ def _of_pairs(docs: DataFrame, pairs: DataFrame, make, words: int) -> DataFrame:
                 sets = [shingles(t, words) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([make(s) for s in sets], pa.binary())], names=["id", "n", "s"])
 
-    return docs.select("doc_id", "text", *some.columns("doc_id")).mapInArrow(run, "id long, n long, s binary")
+    return docs.select("doc_id", "text", *some.columns("doc_id")).mapInArrow(tidied(run), "id long, n long, s binary")
 
 
 def _possible(docs: DataFrame, pairs: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
@@ -164,7 +159,7 @@ def _possible(docs: DataFrame, pairs: DataFrame, words: int, share: tuple[int, i
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in b.columns[:2]], names=["x", "y"])
 
     wide = pairs.join(side("y"), "y").join(side("x"), "x").select("x", "y", "n_x", "s_x", "n_y", "s_y")
-    found = written(wide.mapInArrow(keep, "x long, y long").distinct(), "possible")
+    found = written(wide.mapInArrow(tidied(keep), "x long, y long").distinct(), "possible")
     forget(docs.sparkSession, sketches)
     return found
 
@@ -200,7 +195,7 @@ def _survey(docs: DataFrame, words: int) -> DataFrame:
         if held:
             yield counted(list(held.values()))
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, digest binary, shingle long, count long, total long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidied(run), "doc_id long, n long, digest binary, shingle long, count long, total long")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
@@ -219,7 +214,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, words: int, share: tuple[int, i
 
     left = pairs.join(found.select(F.col("id").alias("y"), F.col("s").alias("t")), "y")
     wide = left.join(found.select(F.col("id").alias("x"), "s"), "x").select("x", "y", "s", "t")
-    out = written(wide.mapInArrow(check, "a long, b long"), "edges")
+    out = written(wide.mapInArrow(tidied(check), "a long, b long"), "edges")
     forget(docs.sparkSession, found)
     return out
 
@@ -264,7 +259,7 @@ def similarity_classes(docs: DataFrame, words: int = WORDS, share: tuple[int, in
                 places = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([y for _, y in made])))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int32()), lists, places], names=["id", "n", "sigs", "places"])
 
-    signed = written(singles.mapInArrow(sign, "id long, n int, sigs array<long>, places array<int>").where("n > 0"), "signed")
+    signed = written(singles.mapInArrow(tidied(sign), "id long, n int, sigs array<long>, places array<int>").where("n > 0"), "signed")
     size_class = F.floor(F.log(F.col("n").cast("double")) / np.log(share[1] / share[0])).cast("int")
     rows = signed.select("id", "n", F.explode(F.arrays_zip("sigs", "places")).alias("x")).select("id", "n", F.col("x.sigs").alias("sig"), F.col("x.places").alias("i"))
     # lists with more than one member: narrow rows, combined before they are shuffled, some lists at a time

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import append, bounded_sample
+from .shared import append, bounded_sample, tidied
 
 DIMENSIONS = 1024
 TRAINING_ROWS = 20_000  #: prototypes are fitted on at most so many rows, chosen by a hash of doc_id
@@ -93,7 +93,7 @@ def fit(docs: DataFrame, dimensions: int = DIMENSIONS, training_rows: int = TRAI
         names = sorted(total)
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([total[n].tolist() for n in names], pa.list_(pa.int64()))], names=["lang", "v"])
 
-    summed = rows.mapInArrow(bundle, "lang string, v array<long>").select("lang", F.posexplode("v")).groupBy("lang", "pos").agg(F.sum("col").alias("v"))
+    summed = rows.mapInArrow(tidied(bundle), "lang string, v array<long>").select("lang", F.posexplode("v")).groupBy("lang", "pos").agg(F.sum("col").alias("v"))
     found: dict[str, np.ndarray] = {}
     for lang, pos, v in summed.collect():  # languages x dimensions rows
         found.setdefault(lang, np.zeros(dimensions))[pos] = v

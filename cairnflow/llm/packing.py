@@ -19,7 +19,6 @@ import struct
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import kept, tidied
+
 WINDOW = 2048
 END_ID = 1
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -94,10 +95,9 @@ class Encoder:
             yield b"".join(map(get, parts))
 
 
-@cache
 def encoder(path: str, cache_words: int) -> Encoder:
     """One for each Python worker, whose tasks share its cache."""
-    return Encoder(path, cache_words)
+    return kept(("encoder", path, cache_words), lambda: Encoder(path, cache_words))
 
 
 class SumOfSquares:
@@ -241,4 +241,4 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
         if out:
             yield batch()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidied(run), SCHEMA)

@@ -15,11 +15,10 @@ import re
 import struct
 from array import array
 from dataclasses import dataclass, field
-from functools import cache
 
 from pyspark.sql import DataFrame
 
-from .shared import append
+from .shared import append, kept
 
 MARK = "▁"
 # Fixed values of the model format: piece types.
@@ -220,10 +219,9 @@ class PieceEncoder:
         return [b"".join(map(get, words)) for words in split]
 
 
-@cache
 def encoder(path: str, cache_words: int) -> PieceEncoder:
     """One for each Python worker, whose tasks share its cache."""
-    return PieceEncoder(path, cache_words)
+    return kept(("pieces", path, cache_words), lambda: PieceEncoder(path, cache_words))
 
 
 def encode(docs: DataFrame, model_path: str, cache_words: int = 500_000, decoded: bool = False) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
+_KEPT: dict = {}  # of a Python worker
+_USED: set = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -110,6 +112,46 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return found
 
 
+def kept(key, make):
+    """What a Python worker's tasks share, as a cache of words; ``make`` is called where it isn't there."""
+    _USED.add(key)
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def give_back() -> None:
+    """Drop what the last task didn't use and give free memory back to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    for key in set(_KEPT) - _USED:
+        del _KEPT[key]
+    _USED.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    system = ctypes.CDLL(None)
+    if hasattr(system, "malloc_trim"):  # glibc
+        system.malloc_trim(0)
+
+
+def tidied(run):
+    """``run``, for mapInArrow: when a task is over, its worker gives memory back to the system.
+
+    Workers wait for further tasks, beside JVM stages too. What they kept for tasks of another kind than the last goes.
+    """
+
+    def call(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()  # of the worker's own module: this function is sent with copies of what it names
+
+    return call
+
+
 def append(docs: DataFrame, fields: str, make, text: str = "text", rows: int = 1024, as_arrow: bool = False) -> DataFrame:
     """``docs`` with columns that ``make()(texts)`` yields (a list for each of ``fields``), ``rows`` texts at a time.
 
@@ -136,7 +178,7 @@ def append(docs: DataFrame, fields: str, make, text: str = "text", rows: int = 1
                 made = call(part.column(at) if as_arrow else part.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, *(c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(made, types))], names=[f.name for f in whole])
 
-    return frame.mapInArrow(run, whole)
+    return frame.mapInArrow(tidied(run), whole)
 
 
 def bounded_sample(rows: DataFrame, key: str, bound: int, spare: float = 0.9) -> DataFrame:
@@ -207,7 +249,7 @@ def by_group(df: DataFrame, keys: list[str], make, schema: str) -> DataFrame:
 
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = df.select(*keys, *(c for c in df.columns if c not in keys)).repartition(n, *keys).sortWithinPartitions(*keys)
-    return ordered.mapInArrow(run, out)
+    return ordered.mapInArrow(tidied(run), out)
 
 
 class IdFilter:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import append, bounded_sample, forget, written
+from .shared import append, bounded_sample, forget, tidied, written
 
 TRAINING_ROWS = 12_000  #: the field is fitted on at most so many labelled rows, chosen by a hash of doc_id
 THRESHOLD = 0.7
@@ -279,7 +279,7 @@ def fit(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(classes, pa.int64())], names=["text", "toxic", "class"])
 
     # near copies side by side
-    by_class = texts.mapInArrow(classed, "text string, toxic int, class long").repartition(spark.sparkContext.defaultParallelism, "class").sortWithinPartitions("class")
+    by_class = texts.mapInArrow(tidied(classed), "text string, toxic int, class long").repartition(spark.sparkContext.defaultParallelism, "class").sortWithinPartitions("class")
     sample = written(by_class, "labelled")
 
     def attributes(batches, only=None):
@@ -313,7 +313,7 @@ def fit(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS)
         yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.string()), pa.array(total.values(), pa.int64()), pa.array([texts[a] for a in total], pa.int64())], names=["attribute", "n", "texts"])
 
     def counted(label: int, run, least: int) -> list:
-        each = sample.where(F.col("toxic") == label).select("text", "class").mapInArrow(run, "attribute string, n long, texts long")
+        each = sample.where(F.col("toxic") == label).select("text", "class").mapInArrow(tidied(run), "attribute string, n long, texts long")
         return each.groupBy("attribute").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts")).where(F.col("texts") >= least).collect()
 
     # at most what the training rows hold; attributes of fewer than five toxic texts mark nothing
@@ -343,7 +343,7 @@ def fit(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS)
                     found["\n".join(part) + ("\t1" if label == 1 and any(part) else "\t0")] += 1
         yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["window", "n"])
 
-    rows = sample.select("text", "toxic").mapInArrow(windows, "window string, n long").groupBy("window").agg(F.sum("n").alias("n")).collect()  # the training rows' text at most
+    rows = sample.select("text", "toxic").mapInArrow(tidied(windows), "window string, n long").groupBy("window").agg(F.sum("n").alias("n")).collect()  # the training rows' text at most
     cut = []
     for r in sorted(rows, key=lambda r: r.window):
         text, _, label = r.window.rpartition("\t")
@@ -357,7 +357,7 @@ def fit(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS)
             rows = [evidence(p).tolist() for p in tagger.marginals(b.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(rows, pa.list_(pa.float64()))], names=["toxic", "evidence"])
 
-    found = sample.select("text", "toxic").mapInArrow(seen, "toxic int, evidence array<double>").collect()  # at most training_rows
+    found = sample.select("text", "toxic").mapInArrow(tidied(seen), "toxic int, evidence array<double>").collect()  # at most training_rows
     forget(spark, sample)
     found = sorted((r.toxic, *r.evidence) for r in found)
     if marks and found:
