@@ -31,68 +31,85 @@ from .shared import kept, tidied
 WINDOW = 2048
 END_ID = 1
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: What makes a text other than plain: then it is split at plain blanks only and the tokenizer sees whole words.
+#: What makes a word other than plain: then the tokenizer sees it whole.
 _NOT_PLAIN = re.compile("[^\t\n\r\x20-\x26\x28-\x7eÀ-ÖØ-öø-ÿ]|startoftext|endoftext")
-_BLANKS = re.compile("[ \t\n\r]+")
 #: The split pattern and the normalizers of the vocabularies whose texts fall apart as below. Texts of any
 #: other vocabulary are given to the tokenizer whole.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 #: The parts into which such a vocabulary splits a plain text: words, single digits, and runs of punctuation.
 _PARTS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ \t\n\r]+")
 
 
+class Known(dict):
+    """What ``find`` gives for a key, kept."""
+
+    def __init__(self, find: Callable[[str], bytes]):
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, key: str) -> bytes:
+        found = self[key] = self.find(key)
+        return found
+
+
 class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes.
 
-    A vocabulary with ``_SPLIT`` drops white space and never merges across it, nor across the parts of a plain text, so
-    a text's ids are those of its parts one after the other; with another one each text is a single part. Parts repeat, and each is encoded once while it stays in the cache,
-    which has two generations of ``cache_words``: what is not used in one is dropped.
+    A vocabulary with ``_SPLIT`` drops white space and never merges across it, nor across the parts of a plain word, so
+    a text's ids are those of its words one after the other, and a plain word's those of its parts, each of which the
+    vocabulary's model gets alone; with another one each text is a single word. Words repeat, and each is encoded once
+    while it stays in the cache, which has two generations of ``cache_words``: what is not used in one is dropped.
     """
 
     def __init__(self, path: str, cache_words: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.most = Tokenizer.from_file(path), cache_words
+        self.model = self.tokenizer.model
         with open(path, encoding="utf-8") as file:
             told = json.load(file)
-        split = (told.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
+        split, *then = (told.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         normalizers = [n["type"] for n in (told.get("normalizer") or {}).get("normalizers", [])]
-        self.falls_apart = split.get("pattern", {}).get("Regex") == _SPLIT and split.get("invert") is True and normalizers == _NORMALIZERS
-        self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.falls_apart = split.get("pattern", {}).get("Regex") == _SPLIT and split.get("invert") is True and normalizers == _NORMALIZERS and then == [_BYTES]
+        in_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.in_bytes = {c: in_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100)}
+        self.cache, self.older = Known(self.find), {}
 
-    def parts(self, text: str) -> list[str]:
+    def words(self, text: str) -> list[str]:
+        """The text cut at plain blanks; between two of them there is an empty word."""
         if not self.falls_apart:
-            return [text] if text else []
-        if _NOT_PLAIN.search(text):
-            return [w for w in _BLANKS.split(text) if w]
-        return _PARTS.findall(text.lower())
-
-    def learn(self, parts: set[str]) -> None:
-        """Put these in the cache."""
-        old = self.older
-        new = []
-        for part in parts:
-            if (known := old.get(part)) is not None:
-                self.cache[part] = known
-            else:
-                new.append(part)
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            for part, found in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
-                self.cache[part] = array("I", found.ids).tobytes()
+            return [text]
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            pass
+        else:  # these letters have one small form each, wherever they stand
+            small = text.lower()
+            if "oftext" not in small:  # the special tokens are told by their case
+                text = small
+        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+
+    def find(self, word: str) -> bytes:
+        """The ids of a word that is not in the cache."""
+        if (known := self.older.get(word)) is not None:
+            return known
+        if not self.falls_apart or _NOT_PLAIN.search(word):
+            return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        parts = _PARTS.findall(word.lower())
+        if parts != [word]:
+            return b"".join(map(self.cache.__getitem__, parts))
+        if not word.isascii():
+            word = word.translate(self.in_bytes)
+        return array("I", [token.id for token in self.model.tokenize(word)]).tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        split = [self.parts(t) for t in texts]
-        if len(self.cache) > self.most:
-            self.cache, self.older = {}, self.cache
-        if new := set().union(*split).difference(self.cache):
-            self.learn(new)
-        get = self.cache.__getitem__
-        for parts in split:
-            yield b"".join(map(get, parts))
+        for text in texts:
+            if len(self.cache) > self.most:
+                self.cache, self.older = Known(self.find), self.cache
+            yield b"".join(map(self.cache.__getitem__, self.words(text)))
 
 
 def encoder(path: str, cache_words: int) -> Encoder:

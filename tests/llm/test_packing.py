@@ -113,3 +113,27 @@ def test_odd_rows(spark):
     rows = packing.pack(df, PATH).collect()
     assert sum(r.length for r in rows) == 6 and sum(r.doc_id is None for r in rows) >= 1
     assert packing.pack(df.limit(0), PATH).count() == 0
+
+
+def test_plain_words_go_to_the_model_once(tokenizer):
+    """The tokenizer sees only words that are not plain; the parts of all others are encoded once, however texts repeat them."""
+
+    class Told:
+        def __init__(self, of):
+            self.of, self.seen = of, []
+
+        def __getattr__(self, name):
+            return lambda x, **more: (self.seen.extend([x] if isinstance(x, str) else x), getattr(self.of, name)(x, **more))[1]
+
+    plain = ["Über den Wolken, 12 mal!\n\tüber ... wolken.", "ÀÿÖß %% a-b_c (d) e.g. e.g.", "MAL mal, den\r\nDEN", "", "  "]
+    texts = plain + ["it's ² µm a\x85b\xa0c \x1c d×e", "<|endoftext|> UPPER <|endoftext|>X", "<|ENDOFTEXT|> <|", "ŒUVRE 漢 Mal, ΑΣ"]
+    e = packing.Encoder(PATH)
+    e.tokenizer, e.model = Told(e.tokenizer), Told(e.tokenizer.model)
+    for _ in range(2):
+        assert [np.frombuffer(b, "<u4").tolist() for b in e.encode(plain)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in plain]
+    assert e.tokenizer.seen == [] and len(e.model.seen) == len(set(e.model.seen)) and "wolken" in e.model.seen
+    assert [np.frombuffer(b, "<u4").tolist() for b in e.encode(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert "it's" in e.tokenizer.seen and "mal" not in e.tokenizer.seen
+    one = packing.Encoder(PATH)  # every part of a plain word, byte by byte
+    letters = [chr(c) * k + chr(d) for c in [*range(0x21, 0x7F), *range(0xC0, 0x100)] for d in (0x61, 0xE9, 0x2E, 0x37) for k in (1, 2)]
+    assert [np.frombuffer(b, "<u4").tolist() for b in one.encode(letters)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in letters]
