@@ -151,9 +151,15 @@ def merge_report(into: DataFrame, other: DataFrame) -> DataFrame:
 
 
 def shared_counts(tags: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(cacheId, n_shared): how many of the ``wanted`` tags (tagKey, tagValue) each entry has."""
-    named = tags.join(wanted.select("tagKey", "tagValue").distinct(), ["tagKey", "tagValue"], "left_semi")  # before anything is shuffled
-    return named.select("cacheId", "tagKey", "tagValue").distinct().groupBy("cacheId").agg(F.count("*").alias("n_shared"))
+    """(cacheId, n_shared): how many of the ``wanted`` tags (tagKey, tagValue) each entry has.
+
+    ``wanted`` are one call's tags and go to every task: dealt by tag, all entries with a frequent one would meet in one task.
+    An entry's tags are ranked in one sort by cacheId, which can spill; the last one's rank is the count.
+    """
+    named = tags.join(F.broadcast(wanted.select("tagKey", "tagValue").distinct()), ["tagKey", "tagValue"], "left_semi")
+    own = Window.partitionBy("cacheId").orderBy("tagKey", "tagValue")
+    ranked = named.select("cacheId", F.dense_rank().over(own).cast("long").alias("n_shared"), F.lead("tagKey").over(own).isNull().alias("last"))
+    return ranked.where("last").select("cacheId", "n_shared")
 
 
 def most_similar(tags: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -85,6 +85,36 @@ def test_similar(spark):
     assert t.nth_latest(two, s, 3).count() == 0
 
 
+def test_shared_tags_count_once(spark):
+    """Repeated tags, tags without a value and entries without any of the wanted ones."""
+    s = sample(spark).unionByName(frame(spark, [("b", "userTags", "y", D[5]), ("b", "function", "runif", D[6]), ("d", "userTags", "z", D[0])]))
+    wanted = spark.createDataFrame([("function", "runif"), ("userTags", "y"), ("userTags", "y"), ("userTags", None), ("other", "y")], "tagKey string, tagValue string")
+    assert sorted(map(tuple, t.shared_counts(s, wanted).collect())) == [("b", 2), ("c", 1)]
+    assert t.shared_counts(s, wanted.limit(0)).count() == 0
+    assert t.carries_all(s, wanted).count() == 0 and ids(t.carries_all(s, wanted.where("tagValue = 'y' and tagKey = 'userTags'"))) == ["b"]
+
+
+def dealt(df):
+    """The plan of the rows that are not broadcast, node by node."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    lines, depth = [], None
+    for line in plan.split("\n"):
+        at = len(line) - len(line.lstrip(" :+-"))
+        if depth is not None and at > depth:
+            continue
+        depth = at if "BroadcastExchange" in line else None
+        lines.append(line.lstrip(" :+-"))
+    return lines
+
+
+def test_entries_of_a_frequent_tag_are_not_dealt_by_tag(spark):
+    """Counting deals rows by entry alone, and holds them in one sort rather than in hash tables."""
+    wanted = spark.createDataFrame([("function", "runif"), ("userTags", "y")], "tagKey string, tagValue string")
+    plan = dealt(t.carries_all(sample(spark), wanted))
+    assert [n.split("(")[1].split("#")[0] for n in plan if n.startswith("Exchange")] == ["cacheId"]
+    assert not [n for n in plan if "Aggregate" in n]
+
+
 def test_log_views(spark):
     log = frame(spark, [("a", "inCloud", "FALSE", D[0]), ("a", "inCloud", "TRUE", D[1]), ("a", "accessed", "1", D[0]), ("a", "accessed", "2", D[1])])
     rows = {(r.tagKey, r.tagValue) for r in t.latest_values(log).collect()}
