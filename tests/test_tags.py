@@ -115,6 +115,15 @@ def test_entries_of_a_frequent_tag_are_not_dealt_by_tag(spark):
     assert not [n for n in plan if "Aggregate" in n]
 
 
+def test_most_similar_deals_by_entry(spark):
+    """The largest count too is found without dealing rows by tag; of entries with equal counts all stay."""
+    s = sample(spark)
+    wanted = spark.createDataFrame([("function", "runif"), ("function", "rnorm")], "tagKey string, tagValue string")
+    best = t.most_similar(s, wanted)
+    assert sorted(map(tuple, best.collect())) == [("a", 1), ("b", 1), ("c", 1)]
+    assert [n.split("(")[1].split("#")[0] for n in dealt(t.most_similar(s, wanted)) if n.startswith("Exchange")] == ["cacheId"]
+
+
 def test_log_views(spark):
     log = frame(spark, [("a", "inCloud", "FALSE", D[0]), ("a", "inCloud", "TRUE", D[1]), ("a", "accessed", "1", D[0]), ("a", "accessed", "2", D[1])])
     rows = {(r.tagKey, r.tagValue) for r in t.latest_values(log).collect()}
