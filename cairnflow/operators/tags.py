@@ -171,7 +171,8 @@ def most_similar(tags: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def nth_latest(entries: DataFrame, tags: DataFrame, n: int = 1) -> DataFrame:
     """Of ``entries`` (cacheId) the one accessed n-th last (ties: the smaller cacheId first)."""
-    at = tags.join(entries.select("cacheId"), "cacheId", "left_semi").groupBy("cacheId").agg(F.max("createdDate").alias("latest"))
+    own = entries.select("cacheId").hint("shuffle_hash")  # a table of each task's share of the entries; all tags need no sort
+    at = tags.join(own, "cacheId", "left_semi").groupBy("cacheId").agg(F.max("createdDate").alias("latest"))
     top = at.orderBy(F.desc("latest"), "cacheId").limit(n)  # n rows at most, before the ranking
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("latest"), "cacheId"))).where(F.col("rank") == n).select("cacheId", "latest")
 

@@ -124,6 +124,15 @@ def test_most_similar_deals_by_entry(spark):
     assert [n.split("(")[1].split("#")[0] for n in dealt(t.most_similar(s, wanted)) if n.startswith("Exchange")] == ["cacheId"]
 
 
+def test_nth_latest_sorts_no_tags(spark):
+    """Ties go by id, entries given twice count once; all tags are dealt by entry, not sorted for the join."""
+    s = sample(spark).unionByName(frame(spark, [("e", "function", "runif", D[4]), ("f", "function", "runif", D[6])]))
+    given = spark.createDataFrame([("b",), ("e",), ("e",), ("a",), ("unknown",)], "cacheId string")
+    assert [[r.cacheId for r in t.nth_latest(given, s, n).collect()] for n in (1, 2, 3, 4)] == [["b"], ["e"], ["a"], []]
+    plan = dealt(t.nth_latest(given, s, 2))
+    assert any(n.startswith("ShuffledHashJoin") for n in plan) and not [n for n in plan if n.startswith(("SortMergeJoin", "Sort ["))]
+
+
 def test_log_views(spark):
     log = frame(spark, [("a", "inCloud", "FALSE", D[0]), ("a", "inCloud", "TRUE", D[1]), ("a", "accessed", "1", D[0]), ("a", "accessed", "2", D[1])])
     rows = {(r.tagKey, r.tagValue) for r in t.latest_values(log).collect()}
